@@ -10,8 +10,17 @@ from uniqtally.functions.metrics import report_double
 from uniqtally.plans import labels
 
 
+COLUMN_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+}
+
+
 def _schema(columns: str) -> T.StructType:
-    return T.StructType.fromDDL(columns)
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, COLUMN_TYPES[kind]) for name, kind in pairs])
 
 
 # Columns of the three result tables, in order.

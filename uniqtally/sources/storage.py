@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,11 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 SIZE_TASKS = 256
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="uniqtally-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only for a local session."""
     shared = spark.conf.get(CHECKPOINT_DIR, None)
@@ -21,9 +27,7 @@ def scratch_root(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"Set {CHECKPOINT_DIR} to a folder that all executors can reach")
-    root = tempfile.mkdtemp(prefix="uniqtally-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    return _local_root()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
