@@ -20,7 +20,6 @@ from uniqtally.functions import (
 from uniqtally.operators import (
     DistinctQuery,
     approx,
-    build_sketch_table,
     direct_sketch,
     error_rows,
     estimates,
@@ -31,8 +30,8 @@ from uniqtally.operators import (
     sketch,
     summarize_errors,
     summarize_exact,
+    store_sketch_table,
     table_stats,
-    write_sketch_table,
 )
 from uniqtally.plans import (
     compare,
@@ -105,7 +104,7 @@ def stored_sketches(spark: SparkSession, sf_dir: str, kind: str, lgk: int) -> st
     key = (spark.sparkContext.applicationId, sf_dir, kind, lgk)
     if key not in _stored:
         path = scratch_path(spark, f"sketches-{kind}-{lgk}")
-        write_sketch_table(build_sketch_table(events(spark, sf_dir), kind=kind, lgk=lgk), path)
+        store_sketch_table(events(spark, sf_dir), path, kind=kind, lgk=lgk)
         _stored[key] = path
     return _stored[key]
 

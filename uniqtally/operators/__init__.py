@@ -29,6 +29,7 @@ from uniqtally.operators.sketch_table import (
     read_sketch_table,
     rollup,
     sketch_sizes,
+    store_sketch_table,
     table_stats,
     write_sketch_table,
 )
@@ -55,6 +56,7 @@ __all__ = [
     "sketch",
     "sketch_by",
     "sketch_sizes",
+    "store_sketch_table",
     "summarize_errors",
     "summarize_exact",
     "table_stats",

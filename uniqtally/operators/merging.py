@@ -28,6 +28,8 @@ SPLIT_BYTES = 128 << 20
 SLOTS_FOR_UNKNOWN_SIZE = 1024
 
 FALLBACK_THRESHOLD = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+# Memory that one task may spend on sketches under construction.
+TASK_SKETCH_BYTES = 256 << 20
 
 
 def estimated_splits(df: DataFrame) -> int | None:
@@ -103,7 +105,7 @@ def estimates(sketches: DataFrame, group_cols: Sequence[str], kind: SketchKind |
 
 
 def hash_groups_within(kind: SketchKind | str, lgk: int, task_bytes: int) -> int:
-    """How many sketches one task may keep in its hash map within a memory budget."""
+    """How many full-grown sketches fit in a task's memory budget."""
     return max(task_bytes // sketch_kind(kind).buffer_bytes(lgk), 1)
 
 
@@ -112,15 +114,17 @@ def many_groups(
     spark: SparkSession,
     kind: SketchKind | str,
     lgk: int = DEFAULT_LGK,
-    task_bytes: int = 256 << 20,
+    task_bytes: int = TASK_SKETCH_BYTES,
 ):
     """Let a task hash more groups before it turns to sorting, within a memory budget.
 
-    Spark switches a sketch aggregate to sorting after 128 groups per task. The limit is read when a
-    query starts, so run the action inside the block.
+    Spark switches a sketch aggregate to sorting all further rows after 128 groups per task, which
+    costs about as much as an exact count. The setting is read when a query starts, so run the
+    action inside the block. A larger setting of the session is kept.
     """
     before = spark.conf.get(FALLBACK_THRESHOLD)
-    spark.conf.set(FALLBACK_THRESHOLD, str(hash_groups_within(kind, lgk, task_bytes)))
+    groups = max(int(before), hash_groups_within(kind, lgk, task_bytes))
+    spark.conf.set(FALLBACK_THRESHOLD, str(groups))
     try:
         yield
     finally:

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from uniqtally.functions.metrics import size_ratio
 from uniqtally.functions.sketches import DEFAULT_LGK, SketchKind
-from uniqtally.operators.merging import SKETCH_BYTES, estimates, merge_by, sketch_by
+from uniqtally.operators.merging import (
+    SKETCH_BYTES,
+    TASK_SKETCH_BYTES,
+    estimates,
+    many_groups,
+    merge_by,
+    sketch_by,
+)
 from uniqtally.sources.storage import store_table, stored_bytes
 
 # Fixed value: the finest grain that the four queries need.
@@ -35,6 +42,22 @@ def write_sketch_table(table: DataFrame, path: str) -> DataFrame:
     return store_table(table, path)
 
 
+def store_sketch_table(
+    df: DataFrame,
+    path: str,
+    group_cols: Sequence[str] = MATERIALIZED_GRAIN,
+    distinct_col: str = "distinct_key",
+    kind: SketchKind | str = "theta",
+    lgk: int = DEFAULT_LGK,
+    task_bytes: int = TASK_SKETCH_BYTES,
+) -> DataFrame:
+    """Build a sketch table, with room for many groups per task, and store it."""
+    with many_groups(df.sparkSession, kind, lgk, task_bytes):
+        return write_sketch_table(
+            build_sketch_table(df, group_cols, distinct_col, kind, lgk), path
+        )
+
+
 def read_sketch_table(spark: SparkSession, path: str, cache: bool = False) -> DataFrame:
     table = spark.read.parquet(path)
     return table.cache() if cache else table

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -14,7 +15,7 @@ from uniqtally.functions.metrics import (
     workload_exact_ms,
     workload_sketch_ms,
 )
-from uniqtally.functions.sketches import DEFAULT_LGK, HLL, THETA
+from uniqtally.functions.sketches import DEFAULT_LGK, HLL, THETA, SketchKind
 from uniqtally.operators.accuracy import error_rows, summarize_errors, summarize_exact
 from uniqtally.operators.distinct import (
     ALL_QUERIES,
@@ -22,6 +23,7 @@ from uniqtally.operators.distinct import (
     DistinctQuery,
     sketch,
 )
+from uniqtally.operators.merging import many_groups
 from uniqtally.operators.runtime import runtime_stats, time_trials, trial_rows, trials_frame
 from uniqtally.operators.sketch_table import (
     MATERIALIZED_GRAIN,
@@ -50,6 +52,7 @@ class Method:
     run: Callable[[DataFrame, DistinctQuery], DataFrame]
     notes: str
     relative_sd: float | None = None
+    sketch: tuple[SketchKind, int] | None = None
 
 
 @dataclass(frozen=True)
@@ -93,11 +96,13 @@ def comparison_methods(
             labels.THETA_PARTITIONED,
             lambda df, query: sketch(df, query, THETA, theta_lgk),
             labels.THETA_PARTITIONED_NOTE.format(lgk=theta_lgk),
+            sketch=(THETA, theta_lgk),
         ),
         Method(
             labels.HLL_PARTITIONED,
             lambda df, query: sketch(df, query, HLL, hll_lgk),
             labels.HLL_PARTITIONED_NOTE.format(lgk=hll_lgk),
+            sketch=(HLL, hll_lgk),
         ),
     ]
     if include_direct:
@@ -106,29 +111,37 @@ def comparison_methods(
                 labels.THETA_DIRECT,
                 lambda df, query: spark.sql(query.sketch_sql(view, THETA, theta_lgk)),
                 labels.THETA_DIRECT_NOTE.format(lgk=theta_lgk),
+                sketch=(THETA, theta_lgk),
             ),
             Method(
                 labels.HLL_DIRECT,
                 lambda df, query: spark.sql(query.sketch_sql(view, HLL, hll_lgk)),
                 labels.HLL_DIRECT_NOTE.format(lgk=hll_lgk),
+                sketch=(HLL, hll_lgk),
             ),
         ]
     return methods
 
 
 def _measure(
-    build: Callable[[], DataFrame], path: str, warmups: int, trials: int
+    spark: SparkSession,
+    build: Callable[[], DataFrame],
+    path: str,
+    warmups: int,
+    trials: int,
+    sketch: tuple[SketchKind, int] | None,
 ) -> tuple[DataFrame, list[int]]:
     """Timed runs, and the answer stored by one untimed run (the first warm-up, if there is one).
 
     A stored answer outlives lost executors, and no later trial can read it in place of the work
     that is to be timed, as it could read a cached plan.
     """
-    if warmups > 0:
-        stored = store_table(build(), path)
-        return stored, time_trials(build, warmups - 1, trials)
-    samples = time_trials(build, 0, trials)
-    return store_table(build(), path), samples
+    with many_groups(spark, *sketch) if sketch else nullcontext():
+        if warmups > 0:
+            stored = store_table(build(), path)
+            return stored, time_trials(build, warmups - 1, trials)
+        samples = time_trials(build, 0, trials)
+        return store_table(build(), path), samples
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -165,10 +178,12 @@ def compare(
     for query in queries:
         for method in methods:
             counts[query.name, method.name], samples = _measure(
+                spark,
                 lambda: method.run(df, query),
                 f"{store}/{query.name}/{method.name}",
                 warmups,
                 trials,
+                method.sketch,
             )
             timed += trial_rows(query.name, method.name, samples)
             answer, truth = counts[query.name, method.name], counts[query.name, labels.EXACT]
@@ -262,7 +277,7 @@ def compare_materialized(
         def build() -> DataFrame:
             return build_sketch_table(df, grain, kind=kind, lgk=lgk)
 
-        stored, samples = _measure(build, path, warmups, trials)
+        stored, samples = _measure(spark, build, path, warmups, trials, (kind, lgk))
         timed += trial_rows(kind.name, BUILD, samples)
         tables.append(
             table_stats(spark, stored, path, raw_path).withColumn("sketch_type", F.lit(kind.name))
@@ -270,10 +285,12 @@ def compare_materialized(
         table = read_sketch_table(spark, path, cache_sketch_table)
         for query in queries:
             answer, samples = _measure(
+                spark,
                 lambda: rollup(table, query.group_cols, kind, lgk),
                 f"{store}_counts/{kind.name}/{query.name}",
                 warmups,
                 trials,
+                (kind, lgk),
             )
             timed += trial_rows(query.name, kind.name, samples)
             truth = comparison.exact_counts(query)

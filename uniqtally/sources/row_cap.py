@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 FILE = "_file_path"
 ROW = "_row_index"
+# Spark's own columns for it; they need a scan of files below, and no join or aggregate between.
+FILE_POSITION = (f"_metadata.file_path AS {FILE}", f"_metadata.row_index AS {ROW}")
 CHUNK_ROWS = 1_000_000
 
 

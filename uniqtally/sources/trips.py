@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from uniqtally.sources.row_cap import FILE, ROW, cap_rows
+from uniqtally.sources.row_cap import FILE, FILE_POSITION, ROW, cap_rows
+from uniqtally.sources.storage import scratch_path, store_table
 
 # Raw column names and text prefixes.
 PICKUP_TS = "tpep_pickup_datetime"
@@ -27,14 +28,13 @@ def _usable(raw: DataFrame, name: str) -> Column:
     return column.isNotNull()
 
 
-def _file_position(raw: DataFrame) -> list[Column]:
-    """Where each row is stored, or nothing for a table that is not read from files."""
-    position = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
+def _with_position(raw: DataFrame) -> DataFrame:
+    """Add where each row is stored; rows that do not come from files are stored first."""
     try:
-        raw.select(*position)
+        return raw.selectExpr("*", *FILE_POSITION)
     except AnalysisException:
-        return []
-    return position
+        stored = store_table(raw, scratch_path(raw.sparkSession, "trips"))
+        return stored.selectExpr("*", *FILE_POSITION)
 
 
 def trips(
@@ -49,7 +49,10 @@ def trips(
     A place that does not fit an int is dropped. ``max_rows`` > 0 keeps that many of the clean rows;
     which ones is not defined.
     """
-    position = _file_position(raw) if max_rows > 0 else []
+    position = []
+    if max_rows > 0:
+        raw = _with_position(raw.select(pickup_ts, pickup_location, dropoff_location))
+        position = [FILE, ROW]
     places = (
         raw.where(
             F.col(pickup_ts).isNotNull()
@@ -65,8 +68,7 @@ def trips(
         .where(F.col("pickup_date").isNotNull() & (F.col("pickup") > 0) & (F.col("dropoff") > 0))
     )
     if max_rows > 0:
-        limit = min(max_rows, MAX_INT)
-        places = cap_rows(places, limit) if position else places.limit(limit)
+        places = cap_rows(places, min(max_rows, MAX_INT))
     return places.select(
         F.concat(
             F.lit(ROUTE_PREFIX),
