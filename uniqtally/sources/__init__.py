@@ -10,8 +10,8 @@ from uniqtally.sources.canonical import (
 )
 from uniqtally.sources.row_cap import cap_rows
 from uniqtally.sources.storage import scratch_path, scratch_root, store_table, stored_bytes
-from uniqtally.sources.synthetic import WORKLOADS, matrix_parameters, synthetic, workload_rows
-from uniqtally.sources.trips import load_trips, trips
+from uniqtally.sources.workloads import WORKLOADS, matrix_parameters, synthetic, workload_rows
+from uniqtally.sources.trip_records import load_trips, trips
 
 __all__ = [
     "DATE_BUCKET",

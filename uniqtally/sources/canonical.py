@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uniqtally.sources.storage import store_table
-from uniqtally.sources.synthetic import synthetic
-from uniqtally.sources.trips import load_trips
+from uniqtally.sources.workloads import synthetic
+from uniqtally.sources.trip_records import load_trips
 
 # Column and view names of the canonical input.
 DISTINCT_KEY = "distinct_key"
