@@ -5,6 +5,9 @@ For a group found in every split of a very large table this is one merge of as m
 there are splits. The two-level plan first merges within ``slots`` slices of the map tasks, in
 parallel, and then merges the slices. A slot is taken from the task number, so each map task still
 holds a single sketch per group, and which slot a sketch falls in does not change the union.
+
+``slots=None`` takes two levels for large inputs only. Pass 1 for a large input of very many groups
+none of which is found in many splits; it saves the second shuffle.
 """
 
 from __future__ import annotations
