@@ -125,6 +125,17 @@ def test_comparison_survives_a_hidden_cache(spark):
     assert joined.where(F.col("again") == F.col("runtime_ms")).count() == 8
 
 
+@pytest.mark.parametrize("rows,exact_groups", [([("a", None), ("b", None)], 1), ([], 0)])
+def test_comparison_without_common_groups(spark, rows, exact_groups):
+    """Null groups are in the exact summary only; every method still has its row."""
+    df = spark.createDataFrame(rows, "distinct_key string, group_id string")
+    results = compare(df, "d", ALL_QUERIES[1:2], trials=1, view="no_groups").results.collect()
+    assert [row.num_groups for row in results] == [exact_groups, 0, 0, 0, 0, 0]
+    assert results[0].exact_cardinality == len(rows)
+    assert all(row.approximate_cardinality == row.relative_error_max == 0.0 for row in results[1:])
+    assert [row.relative_sd for row in results] == [None, 0.05, None, None, None, None]
+
+
 def test_whole_run_and_matrix(spark, tmp_path):
     workload = {"rows": 3000, "distinct": 200, "groups": 5, "days": 3, "partitions": 3}
     methods, stored = run_benchmark(

@@ -10,33 +10,48 @@ from pyspark.sql import functions as F
 from uniqtally.functions.metrics import relative_error
 from uniqtally.operators.merging import DISTINCT_COUNT
 
+SUMMARY_COLUMNS = (
+    "num_groups",
+    "exact_cardinality",
+    "approximate_cardinality",
+    "relative_error_mean",
+    "relative_error_median",
+    "relative_error_p95",
+    "relative_error_max",
+)
 EXACT_COUNT = "exact_count"
 APPROX_COUNT = "approx_count"
 RELATIVE_ERROR = "relative_error"
 
 
 def error_rows(
-    exact: DataFrame, approx: DataFrame, group_cols: Sequence[str], null_safe: bool = False
+    exact: DataFrame,
+    approx: DataFrame,
+    group_cols: Sequence[str],
+    null_safe: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Group columns, both counts and the relative error of each group.
 
     Groups with a null key do not join, unless ``null_safe`` is set. Both inputs are already
     partitioned by their group columns when they come straight from an aggregate, so the join adds
-    no shuffle. Without group columns both inputs have one row.
+    no shuffle. Without group columns the exact input has one row. ``keep`` names columns of the
+    approximate input to carry along, such as its method when it holds the answers of several.
     """
     left = exact.withColumnRenamed(DISTINCT_COUNT, EXACT_COUNT)
     right = approx.withColumnRenamed(DISTINCT_COUNT, APPROX_COUNT)
     if not group_cols:
-        joined = left.withColumn(APPROX_COUNT, right.select(APPROX_COUNT).scalar())
+        joined = right.withColumn(EXACT_COUNT, left.select(EXACT_COUNT).scalar())
     elif not null_safe:
         joined = left.join(right, list(group_cols), "inner")
     else:
         right = right.select(
-            *[F.col(name).alias(f"_approx_{name}") for name in group_cols], APPROX_COUNT
+            *[F.col(name).alias(f"_approx_{name}") for name in group_cols], APPROX_COUNT, *keep
         )
         matches = [F.col(name).eqNullSafe(F.col(f"_approx_{name}")) for name in group_cols]
         joined = left.join(right, matches, "inner")
     return joined.select(
+        *keep,
         *group_cols,
         EXACT_COUNT,
         APPROX_COUNT,
@@ -48,10 +63,13 @@ def _or_zero(column, name):
     return F.coalesce(column, F.lit(0.0)).alias(name)
 
 
-def summarize_errors(rows: DataFrame) -> DataFrame:
-    """One row: groups, summed counts, and mean, median, 95th percentile and maximum error."""
+def summarize_errors(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Groups, summed counts, and mean, median, 95th percentile and maximum error.
+
+    One row, or one for each value of the columns ``by``.
+    """
     error = F.col(RELATIVE_ERROR)
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_groups"),
         _or_zero(F.sum(EXACT_COUNT).cast("double"), "exact_cardinality"),
         _or_zero(F.sum(APPROX_COUNT).cast("double"), "approximate_cardinality"),

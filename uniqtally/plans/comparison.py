@@ -16,7 +16,12 @@ from uniqtally.functions.metrics import (
     workload_sketch_ms,
 )
 from uniqtally.functions.sketches import DEFAULT_LGK, HLL, THETA, SketchKind
-from uniqtally.operators.accuracy import error_rows, summarize_errors, summarize_exact
+from uniqtally.operators.accuracy import (
+    SUMMARY_COLUMNS,
+    error_rows,
+    summarize_errors,
+    summarize_exact,
+)
 from uniqtally.operators.distinct import (
     ALL_QUERIES,
     DEFAULT_RELATIVE_SD,
@@ -42,6 +47,10 @@ from uniqtally.sources.canonical import INPUT_VIEW
 from uniqtally.sources.storage import scratch_path, store_table
 
 BUILD = "build"
+METHOD_ROWS = (
+    "position int, query_name string, method string, relative_sd double, notes string"
+)
+STORED_ROWS = "position int, query_name string, sketch_type string"
 
 
 @dataclass(frozen=True)
@@ -52,6 +61,7 @@ class Method:
     run: Callable[[DataFrame, DistinctQuery], DataFrame]
     notes: str
     relative_sd: float | None = None
+    global_notes: str | None = None
     sketch: tuple[SketchKind, int] | None = None
 
 
@@ -85,6 +95,7 @@ def comparison_methods(
             labels.EXACT,
             lambda df, query: spark.sql(query.exact_sql(view)),
             labels.EXACT_GROUPED_NOTE,
+            global_notes=labels.EXACT_NOTE,
         ),
         Method(
             labels.APPROX,
@@ -148,6 +159,21 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _error_summaries(
+    query: DistinctQuery, truth: DataFrame, answers: dict[str, DataFrame], kind: str
+) -> DataFrame:
+    """One row per answer to a query, named in the column ``kind``; the exact one is read once."""
+    every = _union([answer.withColumn(kind, F.lit(name)) for name, answer in answers.items()])
+    rows = error_rows(truth, every, query.group_cols, keep=[kind])
+    return summarize_errors(rows, by=[kind]).withColumn("query_name", F.lit(query.name))
+
+
+def _with_summaries(rows: DataFrame, summaries: Sequence[DataFrame], kind: str) -> DataFrame:
+    """Add the summaries; an answer without any common group has zeros."""
+    joined = rows.join(_union(summaries), ["query_name", kind], "left")
+    return joined.fillna(0, list(SUMMARY_COLUMNS))
+
+
 def _in_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("position")
 
@@ -174,7 +200,8 @@ def compare(
     methods = comparison_methods(spark, view, relative_sd, theta_lgk, hll_lgk, include_direct)
     counts: dict[tuple[str, str], DataFrame] = {}
     timed: list[tuple] = []
-    rows: list[DataFrame] = []
+    rows: list[tuple] = []
+    summaries: list[DataFrame] = []
     for query in queries:
         for method in methods:
             counts[query.name, method.name], samples = _measure(
@@ -186,30 +213,25 @@ def compare(
                 method.sketch,
             )
             timed += trial_rows(query.name, method.name, samples)
-            answer, truth = counts[query.name, method.name], counts[query.name, labels.EXACT]
-            if method.name == labels.EXACT:
-                summary = summarize_exact(truth)
-                notes = labels.EXACT_GROUPED_NOTE if query.group_cols else labels.EXACT_NOTE
-            else:
-                summary = summarize_errors(error_rows(truth, answer, query.group_cols))
-                notes = method.notes
-            rows.append(
-                summary.select(
-                    "*",
-                    F.lit(len(rows)).alias("position"),
-                    F.lit(query.name).alias("query_name"),
-                    F.lit(method.name).alias("method"),
-                    F.lit(method.relative_sd).cast("double").alias("relative_sd"),
-                    F.lit(notes).alias("notes"),
-                )
-            )
+            notes = method.notes if query.group_cols else method.global_notes or method.notes
+            rows.append((len(rows), query.name, method.name, method.relative_sd, notes))
+        truth = counts[query.name, labels.EXACT]
+        answers = {
+            method.name: counts[query.name, method.name]
+            for method in methods
+            if method.name != labels.EXACT
+        }
+        summaries += [
+            summarize_exact(truth).select(
+                "*", F.lit(labels.EXACT).alias("method"), F.lit(query.name).alias("query_name")
+            ),
+            _error_summaries(query, truth, answers, "method"),
+        ]
 
     stats = runtime_stats(trials_frame(spark, timed))
-    joined = (
-        _union(rows)
-        .join(stats, ["query_name", "method"])
-        .withColumn("dataset", F.lit(dataset))
-        .withColumn("input_rows", F.lit(input_rows))
+    named = spark.createDataFrame(rows, METHOD_ROWS).join(stats, ["query_name", "method"])
+    joined = _with_summaries(named, summaries, "method").select(
+        "*", F.lit(dataset).alias("dataset"), F.lit(input_rows).alias("input_rows")
     )
     results = conform(_in_order(joined), METHOD_RESULT_SCHEMA)
     return Comparison(results, input_rows, timed, counts)
@@ -270,7 +292,8 @@ def compare_materialized(
     store = store or scratch_path(spark, "materialized_sketches")
     timed = comparison.exact_trials()
     tables: list[DataFrame] = []
-    rows: list[DataFrame] = []
+    rows: list[tuple] = []
+    answers: dict[str, dict[str, DataFrame]] = {query.name: {} for query in queries}
     for kind, lgk in ((THETA, theta_lgk), (HLL, hll_lgk)):
         path = f"{store}/{kind.name}"
 
@@ -284,7 +307,7 @@ def compare_materialized(
         )
         table = read_sketch_table(spark, path, cache_sketch_table)
         for query in queries:
-            answer, samples = _measure(
+            answers[query.name][kind.name], samples = _measure(
                 spark,
                 lambda: rollup(table, query.group_cols, kind, lgk),
                 f"{store}_counts/{kind.name}/{query.name}",
@@ -293,15 +316,7 @@ def compare_materialized(
                 (kind, lgk),
             )
             timed += trial_rows(query.name, kind.name, samples)
-            truth = comparison.exact_counts(query)
-            rows.append(
-                summarize_errors(error_rows(truth, answer, query.group_cols)).select(
-                    "*",
-                    F.lit(len(rows)).alias("position"),
-                    F.lit(query.name).alias("query_name"),
-                    F.lit(kind.name).alias("sketch_type"),
-                )
-            )
+            rows.append((len(rows), query.name, kind.name))
         if cache_sketch_table:
             table.unpersist()
 
@@ -320,8 +335,13 @@ def compare_materialized(
         "runtime_trials",
     )
     grain_name = "+".join(grain)
+    summaries = [
+        _error_summaries(query, comparison.exact_counts(query), answers[query.name], "sketch_type")
+        for query in queries
+    ]
+    named = spark.createDataFrame(rows, STORED_ROWS)
     joined = (
-        _union(rows)
+        _with_summaries(named, summaries, "sketch_type")
         .join(_union(tables), "sketch_type")
         .join(build_stats, "sketch_type")
         .join(exact_stats, "query_name")
