@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,10 +100,18 @@ def bounded(truth: DataFrame, answer: DataFrame, group_cols, bound: float) -> Da
     )
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def stored_sketches(spark: SparkSession, sf_dir: str, kind: str, lgk: int) -> str:
     """Path of the sketch table of the events; built once per session and table folder."""
     key = (spark.sparkContext.applicationId, sf_dir, kind, lgk)
-    if key not in _stored:
+    if key not in _stored or not is_stored(spark, _stored[key]):
         path = scratch_path(spark, f"sketches-{kind}-{lgk}")
         store_sketch_table(events(spark, sf_dir), path, kind=kind, lgk=lgk)
         _stored[key] = path

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from catalogue import queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {
@@ -40,6 +41,14 @@ def test_entry(spark):
     assert df.count() == 5
 
 
+def test_lost_sketch_tables_are_built_again(spark, monkeypatch):
+    key = (spark.sparkContext.applicationId, SF_DIR, "hll", 12)
+    monkeypatch.setitem(queries._stored, key, "/tmp/uniqtally-no-such-table")
+    path = queries.stored_sketches(spark, SF_DIR, "hll", 12)
+    assert path != "/tmp/uniqtally-no-such-table" and queries.is_stored(spark, path)
+    assert queries.stored_sketches(spark, SF_DIR, "hll", 12) == path
+
+
 @pytest.mark.parametrize("name", sorted(entry_module.queries()))
 def test_query_matches_sql(spark, sql, name):
     df = entry_module.queries()[name](spark, SF_DIR)

@@ -47,7 +47,7 @@ def test_csv_text(spark, tmp_path):
 
 
 def test_csv_round_trip(spark, tmp_path):
-    rows = [("a,b", 1.5, 7, 'q"q'), ("c", None, None, "plain")]
+    rows = [("a,b", 1.5, 7, 'q"q'), ("c", None, None, "two\nlines"), ("#d", 0.0, 0, "back\\slash")]
     df = spark.createDataFrame(rows, "dataset string, error double, n bigint, notes string")
     back = read_report(spark, write_report(df, str(tmp_path / "report")), df.schema)
     assert sorted(tuple(row) for row in back.collect()) == sorted(rows)

@@ -115,8 +115,9 @@ def write_matrix_summary(summary: DataFrame, root: str) -> str:
 
 
 def read_report(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Scan result CSV files with a header."""
-    return spark.read.schema(schema).options(**CSV_QUOTING, enforceSchema=False).csv(path)
+    """Scan result CSV files with a header; notes may hold line breaks."""
+    reader = spark.read.schema(schema).options(**CSV_QUOTING, enforceSchema=False, multiLine=True)
+    return reader.csv(path)
 
 
 def _run_dir(file_name: str) -> Column:
