@@ -84,7 +84,8 @@ def generated(spark: SparkSession, rows: int, cpus: int) -> dict:
         for kind in ("theta", "hll")
     }
     stored = {
-        kind: store_sketch_table(df, f"{root}/{kind}", kind=kind) for kind in ("theta", "hll")
+        kind: store_sketch_table(df, f"{root}/{kind}", kind=kind, input_rows=rows)
+        for kind in ("theta", "hll")
     }
     runs = dict(builds)
     for query in ALL_QUERIES:
@@ -117,7 +118,8 @@ def main() -> None:
         runs |= generated(spark, rows, int(cpus))
     seconds = {}
     for name, build in runs.items():
-        with many_groups(spark, "hll" if "hll" in name else "theta"):
+        rows_per_task = rows if name.startswith("generated") else None
+        with many_groups(spark, "hll" if "hll" in name else "theta", rows_per_task=rows_per_task):
             seconds[name] = statistics.median(time_trials(build, 1, trials)) / 1000
     scale = re.search(r"sf([0-9.]+)", sf_dir)
     print(

@@ -26,6 +26,7 @@ from uniqtally.operators import (
     many_groups,
     merge_slots,
     rollup,
+    rows_per_split,
     sketch,
     sketch_sizes,
 )
@@ -270,11 +271,24 @@ def test_many_groups_keeps_the_answer_and_the_setting(spark):
     before = spark.conf.get(FALLBACK_THRESHOLD)
     plain = answers(sketch(df, query, THETA))
     with many_groups(spark, THETA):
-        assert spark.conf.get(FALLBACK_THRESHOLD) == str(hash_groups_within(THETA, 12, 256 << 20))
+        assert spark.conf.get(FALLBACK_THRESHOLD) == "16384"
         assert answers(sketch(df, query, THETA)) == plain
     assert spark.conf.get(FALLBACK_THRESHOLD) == before
+
+
+def test_groups_that_fit_a_memory_budget(spark):
+    # Full-grown: 64 KB each.
     assert hash_groups_within(THETA, 12, 256 << 20) == 4096
     assert hash_groups_within(THETA, 26, 1) == 1
+    # A million rows take 128 MB at most, which leaves room for many small sketches.
+    assert hash_groups_within(THETA, 12, 256 << 20, 1 << 20) == (128 << 20) // 2048
+    # Too many rows to bound by: all sketches must fit full-grown.
+    assert hash_groups_within(THETA, 12, 256 << 20, 1 << 30) == 4096
+    assert hash_groups_within(HLL, 12, 1 << 30) > 200_000
+    df = spark.range(0, 4 * SPLIT_BYTES // 8, 1, 4)
+    assert rows_per_split(df, 1000) == 250
+    with many_groups(spark, HLL, 4, task_bytes=1 << 50):
+        assert spark.conf.get(FALLBACK_THRESHOLD) == str(2**31 - 1)
 
 
 def test_stored_sketch_estimates(spark):

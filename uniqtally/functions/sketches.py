@@ -33,6 +33,9 @@ class SketchKind:
     name: str
     min_lgk: int
     max_lgk: int
+    # Memory while updating: what a new sketch takes, and at most how much one more key adds.
+    start_bytes: int
+    key_bytes: int
 
     def check_lgk(self, lgk: int) -> int:
         if not self.min_lgk <= lgk <= self.max_lgk:
@@ -62,7 +65,7 @@ class SketchKind:
         raise NotImplementedError
 
     def buffer_bytes(self, lgk: int = DEFAULT_LGK) -> int:
-        """Upper bound of one sketch being updated in memory."""
+        """Upper bound of one full-grown sketch being updated in memory."""
         raise NotImplementedError
 
 
@@ -118,8 +121,10 @@ class _Hll(SketchKind):
         return (1 << self.check_lgk(lgk)) + 64
 
 
-THETA: SketchKind = _Theta("theta", 4, 26)
-HLL: SketchKind = _Hll("hll", 4, 21)
+# A Theta hash table grows eightfold when it is half full, so 16 entries of 8 bytes per key.
+THETA: SketchKind = _Theta("theta", 4, 26, start_bytes=2048, key_bytes=128)
+# An HLL sketch starts as a list and then a set of 4-byte entries.
+HLL: SketchKind = _Hll("hll", 4, 21, start_bytes=512, key_bytes=32)
 SKETCH_KINDS: tuple[SketchKind, ...] = (THETA, HLL)
 
 

@@ -33,7 +33,8 @@ SLOTS_FOR_UNKNOWN_SIZE = 1024
 
 FALLBACK_THRESHOLD = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 # Memory that one task may spend on sketches under construction.
-TASK_SKETCH_BYTES = 256 << 20
+TASK_SKETCH_BYTES = 1 << 30
+MAX_INT = 2**31 - 1
 
 
 def estimated_splits(df: DataFrame) -> int | None:
@@ -108,9 +109,25 @@ def estimates(sketches: DataFrame, group_cols: Sequence[str], kind: SketchKind |
     return sketches.select(*group_cols, estimate.alias(DISTINCT_COUNT))
 
 
-def hash_groups_within(kind: SketchKind | str, lgk: int, task_bytes: int) -> int:
-    """How many full-grown sketches fit in a task's memory budget."""
-    return max(task_bytes // sketch_kind(kind).buffer_bytes(lgk), 1)
+def hash_groups_within(
+    kind: SketchKind | str, lgk: int, task_bytes: int, rows_per_task: int | None = None
+) -> int:
+    """How many groups a task may hold in a hash map without exceeding its memory budget.
+
+    Either all sketches fit full-grown, or, as each row adds one key at most, the sketches grown
+    from ``rows_per_task`` rows fit together with so many small ones.
+    """
+    kind = sketch_kind(kind)
+    groups = task_bytes // kind.buffer_bytes(lgk)
+    if rows_per_task is not None:
+        groups = max(groups, (task_bytes - rows_per_task * kind.key_bytes) // kind.start_bytes)
+    return max(groups, 1)
+
+
+def rows_per_split(df: DataFrame, rows: int) -> int | None:
+    """About how many of the ``rows`` of an input one scan task reads."""
+    splits = estimated_splits(df)
+    return None if splits is None else math.ceil(rows / splits)
 
 
 @contextmanager
@@ -119,6 +136,7 @@ def many_groups(
     kind: SketchKind | str,
     lgk: int = DEFAULT_LGK,
     task_bytes: int = TASK_SKETCH_BYTES,
+    rows_per_task: int | None = None,
 ):
     """Let a task hash more groups before it turns to sorting, within a memory budget.
 
@@ -127,8 +145,8 @@ def many_groups(
     action inside the block. A larger setting of the session is kept.
     """
     before = spark.conf.get(FALLBACK_THRESHOLD)
-    groups = max(int(before), hash_groups_within(kind, lgk, task_bytes))
-    spark.conf.set(FALLBACK_THRESHOLD, str(groups))
+    groups = max(int(before), hash_groups_within(kind, lgk, task_bytes, rows_per_task))
+    spark.conf.set(FALLBACK_THRESHOLD, str(min(groups, MAX_INT)))
     try:
         yield
     finally:

@@ -15,6 +15,7 @@ from uniqtally.operators.merging import (
     estimates,
     many_groups,
     merge_by,
+    rows_per_split,
     sketch_by,
 )
 from uniqtally.sources.storage import store_table, stored_bytes
@@ -50,9 +51,14 @@ def store_sketch_table(
     kind: SketchKind | str = "theta",
     lgk: int = DEFAULT_LGK,
     task_bytes: int = TASK_SKETCH_BYTES,
+    input_rows: int | None = None,
 ) -> DataFrame:
-    """Build a sketch table, with room for many groups per task, and store it."""
-    with many_groups(df.sparkSession, kind, lgk, task_bytes):
+    """Build a sketch table, with room for many groups per task, and store it.
+
+    With ``input_rows`` known, more groups fit the same memory budget (see ``hash_groups_within``).
+    """
+    rows_per_task = None if input_rows is None else rows_per_split(df, input_rows)
+    with many_groups(df.sparkSession, kind, lgk, task_bytes, rows_per_task):
         return write_sketch_table(
             build_sketch_table(df, group_cols, distinct_col, kind, lgk), path
         )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from contextlib import nullcontext
+from contextlib import AbstractContextManager, nullcontext
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -28,7 +28,7 @@ from uniqtally.operators.distinct import (
     DistinctQuery,
     sketch,
 )
-from uniqtally.operators.merging import many_groups
+from uniqtally.operators.merging import TASK_SKETCH_BYTES, many_groups, rows_per_split
 from uniqtally.operators.runtime import runtime_stats, time_trials, trial_rows, trials_frame
 from uniqtally.operators.sketch_table import (
     MATERIALIZED_GRAIN,
@@ -134,25 +134,29 @@ def comparison_methods(
     return methods
 
 
+def _room_for(
+    df: DataFrame, sketch: tuple[SketchKind, int] | None, task_bytes: int, rows: int | None = None
+) -> AbstractContextManager:
+    """Room for the groups of a sketch method over an input; other methods need none."""
+    if sketch is None:
+        return nullcontext()
+    rows_per_task = None if rows is None else rows_per_split(df, rows)
+    return many_groups(df.sparkSession, *sketch, task_bytes, rows_per_task)
+
+
 def _measure(
-    spark: SparkSession,
-    build: Callable[[], DataFrame],
-    path: str,
-    warmups: int,
-    trials: int,
-    sketch: tuple[SketchKind, int] | None,
+    build: Callable[[], DataFrame], path: str, warmups: int, trials: int
 ) -> tuple[DataFrame, list[int]]:
     """Timed runs, and the answer stored by one untimed run (the first warm-up, if there is one).
 
     A stored answer outlives lost executors, and no later trial can read it in place of the work
     that is to be timed, as it could read a cached plan.
     """
-    with many_groups(spark, *sketch) if sketch else nullcontext():
-        if warmups > 0:
-            stored = store_table(build(), path)
-            return stored, time_trials(build, warmups - 1, trials)
-        samples = time_trials(build, 0, trials)
-        return store_table(build(), path), samples
+    if warmups > 0:
+        stored = store_table(build(), path)
+        return stored, time_trials(build, warmups - 1, trials)
+    samples = time_trials(build, 0, trials)
+    return store_table(build(), path), samples
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -190,8 +194,12 @@ def compare(
     include_direct: bool = True,
     view: str = INPUT_VIEW,
     store: str | None = None,
+    task_bytes: int = TASK_SKETCH_BYTES,
 ) -> Comparison:
-    """Run all methods on all queries over a canonical table."""
+    """Run all methods on all queries over a canonical table.
+
+    ``task_bytes`` is what one task may spend on sketches under construction.
+    """
     spark = df.sparkSession
     store = store or scratch_path(spark, "counts")
     df.createOrReplaceTempView(view)
@@ -204,14 +212,13 @@ def compare(
     summaries: list[DataFrame] = []
     for query in queries:
         for method in methods:
-            counts[query.name, method.name], samples = _measure(
-                spark,
-                lambda: method.run(df, query),
-                f"{store}/{query.name}/{method.name}",
-                warmups,
-                trials,
-                method.sketch,
-            )
+            with _room_for(df, method.sketch, task_bytes, input_rows):
+                counts[query.name, method.name], samples = _measure(
+                    lambda: method.run(df, query),
+                    f"{store}/{query.name}/{method.name}",
+                    warmups,
+                    trials,
+                )
             timed += trial_rows(query.name, method.name, samples)
             notes = method.notes if query.group_cols else method.global_notes or method.notes
             rows.append((len(rows), query.name, method.name, method.relative_sd, notes))
@@ -282,6 +289,7 @@ def compare_materialized(
     trials: int = 3,
     cache_sketch_table: bool = False,
     store: str | None = None,
+    task_bytes: int = TASK_SKETCH_BYTES,
 ) -> DataFrame:
     """Build a sketch table of each kind and answer all queries from it.
 
@@ -300,21 +308,21 @@ def compare_materialized(
         def build() -> DataFrame:
             return build_sketch_table(df, grain, kind=kind, lgk=lgk)
 
-        stored, samples = _measure(spark, build, path, warmups, trials, (kind, lgk))
+        with _room_for(df, (kind, lgk), task_bytes, comparison.input_rows):
+            stored, samples = _measure(build, path, warmups, trials)
         timed += trial_rows(kind.name, BUILD, samples)
         tables.append(
             table_stats(spark, stored, path, raw_path).withColumn("sketch_type", F.lit(kind.name))
         )
         table = read_sketch_table(spark, path, cache_sketch_table)
         for query in queries:
-            answers[query.name][kind.name], samples = _measure(
-                spark,
-                lambda: rollup(table, query.group_cols, kind, lgk),
-                f"{store}_counts/{kind.name}/{query.name}",
-                warmups,
-                trials,
-                (kind, lgk),
-            )
+            with _room_for(table, (kind, lgk), task_bytes):
+                answers[query.name][kind.name], samples = _measure(
+                    lambda: rollup(table, query.group_cols, kind, lgk),
+                    f"{store}_counts/{kind.name}/{query.name}",
+                    warmups,
+                    trials,
+                )
             timed += trial_rows(query.name, kind.name, samples)
             rows.append((len(rows), query.name, kind.name))
         if cache_sketch_table:
