@@ -2,70 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Hash salts, text prefixes, first day and shares in percent.
-FIRST_DAY = "2024-01-01"
-KEY_PREFIX = "key_"
-GROUP_PREFIX = "group_"
-DAY_SALT = "day"
-HOT_GROUP_PERCENT = 80
-HOT_OR_WARM_GROUP_PERCENT = 95
-HOT_KEY_PERCENT = 70
-HOT_GROUP_DIVISOR = 20
-WARM_GROUP_DIVISOR = 5
-HOT_KEY_DIVISOR = 20
 
-ROWS_PER_SLICE = 10_000_000
+@dataclass(frozen=True)
+class Tier:
+    """Rows whose percentile is below ``below`` draw from ``1/divisor`` of the ids by a salt.
 
+    The ids of all tiers start at 0, so a wider tier also holds those of a narrower one.
+    """
 
-def hashed(salt: str, domain: int) -> Column:
-    """A number in ``0..domain-1`` that depends on the row id and the salt only."""
-    return F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(domain))
+    below: int
+    salt: str
+    divisor: int = 1
 
 
-def _uniform(distinct: int, groups: int) -> tuple[Column, Column]:
-    return hashed("key", distinct), hashed("group", groups)
+@dataclass(frozen=True)
+class Workload:
+    """How keys and groups are drawn, and the shape of this workload in the comparison matrix."""
 
+    keys: tuple[Tier, ...]
+    groups: tuple[Tier, ...]
+    matrix_rows_per_key: int = 10
+    matrix_groups: int = 100
 
-def _high_cardinality(distinct: int, groups: int) -> tuple[Column, Column]:
-    return hashed("high_key", distinct), hashed("group", groups)
 
+# Hash salts, shares in percent, matrix shapes, text prefixes and first day.
+WORKLOADS: dict[str, Workload] = {
+    "uniform": Workload((Tier(100, "key"),), (Tier(100, "group"),)),
+    "high_cardinality": Workload(
+        (Tier(100, "high_key"),), (Tier(100, "group"),), matrix_rows_per_key=1
+    ),
+    "many_groups": Workload(
+        (Tier(100, "key"),), (Tier(100, "many_groups"),), matrix_groups=1000
+    ),
+    "skewed": Workload(
+        (Tier(70, "hot_key", 20), Tier(100, "cold_key")),
+        (Tier(80, "hot_group", 20), Tier(95, "warm_group", 5), Tier(100, "cold_group")),
+    ),
+}
+KEY_PERCENTILE_SALT = "key_bucket"
+GROUP_PERCENTILE_SALT = "skew_bucket"
+DAY_SALT = "day"
+KEY_PREFIX = "key_"
+GROUP_PREFIX = "group_"
+FIRST_DAY = "2024-01-01"
 
-def _many_groups(distinct: int, groups: int) -> tuple[Column, Column]:
-    return hashed("key", distinct), hashed("many_groups", groups)
+ROWS_PER_SLICE = 10_000_000
 
 
-def _skewed(distinct: int, groups: int) -> tuple[Column, Column]:
-    """Hot, warm and cold ids share one numbering that starts at 0."""
-    key_bucket = hashed("key_bucket", 100)
-    group_bucket = hashed("skew_bucket", 100)
-    key = F.when(
-        key_bucket < HOT_KEY_PERCENT, hashed("hot_key", max(distinct // HOT_KEY_DIVISOR, 1))
-    ).otherwise(hashed("cold_key", distinct))
-    group = (
-        F.when(
-            group_bucket < HOT_GROUP_PERCENT,
-            hashed("hot_group", max(groups // HOT_GROUP_DIVISOR, 1)),
-        )
-        .when(
-            group_bucket < HOT_OR_WARM_GROUP_PERCENT,
-            hashed("warm_group", max(groups // WARM_GROUP_DIVISOR, 1)),
-        )
-        .otherwise(hashed("cold_group", groups))
-    )
-    return key, group
+def hashed(salt: str, domain: int) -> Column:
+    """A number in ``0..domain-1`` that depends on the row id and the salt only."""
+    return F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(domain))
 
 
-WORKLOADS: dict[str, Callable[[int, int], tuple[Column, Column]]] = {
-    "uniform": _uniform,
-    "high_cardinality": _high_cardinality,
-    "many_groups": _many_groups,
-    "skewed": _skewed,
-}
+def drawn(tiers: tuple[Tier, ...], percentile_salt: str, domain: int) -> Column:
+    """An id below ``domain`` by the tier that the row's percentile falls in."""
+    percentile = hashed(percentile_salt, 100)
+    *narrower, widest = tiers
+    column = hashed(widest.salt, max(domain // widest.divisor, 1))
+    for tier in reversed(narrower):
+        column = F.when(
+            percentile < tier.below, hashed(tier.salt, max(domain // tier.divisor, 1))
+        ).otherwise(column)
+    return column
+
+
+def workload_named(name: str) -> Workload:
+    known = WORKLOADS.get(name.lower().replace("-", "_"))
+    if known is None:
+        raise ValueError(f"Unsupported synthetic workload: {name}")
+    return known
 
 
 def workload_rows(
@@ -76,10 +86,9 @@ def workload_rows(
     days: int = 30,
 ) -> DataFrame:
     """Canonical rows for every ``id`` of a table, by a named workload."""
-    name = workload.lower().replace("-", "_")
-    if name not in WORKLOADS:
-        raise ValueError(f"Unsupported synthetic workload: {workload}")
-    key, group = WORKLOADS[name](max(distinct, 1), max(groups, 1))
+    shape = workload_named(workload)
+    key = drawn(shape.keys, KEY_PERCENTILE_SALT, max(distinct, 1))
+    group = drawn(shape.groups, GROUP_PERCENTILE_SALT, max(groups, 1))
     day = hashed(DAY_SALT, max(days, 1))
     return ids.select(
         F.col("id"),
@@ -107,8 +116,5 @@ def synthetic(
 
 def matrix_parameters(workload: str, rows: int) -> tuple[int, int]:
     """Distinct keys and groups used for a workload of a given size in the comparison matrix."""
-    if workload == "high_cardinality":
-        return rows, 100
-    if workload == "many_groups":
-        return max(rows // 10, 1), 1000
-    return max(rows // 10, 1), 100
+    shape = workload_named(workload)
+    return max(rows // shape.matrix_rows_per_key, 1), shape.matrix_groups
