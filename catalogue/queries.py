@@ -146,9 +146,8 @@ def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def named_input_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = register_input(events(spark, sf_dir), view="named_events")
-    return spark.sql("SELECT group_id, COUNT(*) AS n_rows FROM named_events GROUP BY group_id").select(
-        "group_id", "n_rows", F.lit(rows).cast("long").alias("input_rows")
-    )
+    counted = spark.sql("SELECT group_id, COUNT(*) AS n_rows FROM named_events GROUP BY group_id")
+    return counted.select("*", F.lit(rows).cast("long").alias("input_rows"))
 
 
 def synthetic_rows(workload: str, distinct: int, groups: int) -> Query:

@@ -31,8 +31,9 @@ def cap_rows(rows: DataFrame, limit: int, chunk_rows: int = CHUNK_ROWS) -> DataF
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("through", F.sum("n").over(running))
         .where(F.col("through") >= limit)
-        .agg(F.min(F.struct(FILE, "chunk", (F.col("through") - F.col("n")).alias("before"))).alias("c"))
-        .select("c.*")
+        .withColumn("before", F.col("through") - F.col("n"))
+        .agg(F.min(F.struct(FILE, "chunk", "before")).alias("cut"))
+        .select("cut.*")
         .first()
     )
     if cut_chunk[FILE] is None:
