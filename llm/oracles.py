@@ -134,6 +134,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": NEAR_DUPLICATES.format(width=3, percent=85),
     "op3_quality_rules": QUALITY,
     "op4_line_dedup": LINES,
     "op7_chat_format": CHATS,

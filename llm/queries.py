@@ -13,6 +13,7 @@ from llm import (
     chat_format,
     line_dedup,
     mixing,
+    near_dedup,
     personal_data,
     quality_rules,
     token_files,
@@ -23,6 +24,11 @@ from llm.common import scratch_path, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, width=3, percent=85)
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data_digest(table(spark, sf_dir, "documents"))
 
@@ -84,6 +90,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_near_dedup,
         op2_personal_data,
         op3_quality_rules,
         op4_line_dedup,
