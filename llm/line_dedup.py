@@ -238,6 +238,7 @@ def drop_shared_lines(
     docs: DataFrame,
     min_chars: int = MIN_CHARS,
     min_docs: int = MIN_DOCS,
+    max_bits: int = MAX_BITS,
     with_counts: bool = False,
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, without the lines they lose.
@@ -246,7 +247,7 @@ def drop_shared_lines(
     ``n_lines`` (before dropping) and ``n_dropped`` follow.
     """
     keys = fresh_name(docs, "_keys")
-    lost = shared_lines(docs, min_chars, min_docs).withColumnsRenamed({"keys": keys})
+    lost = shared_lines(docs, min_chars, min_docs, max_bits).withColumnsRenamed({"keys": keys})
     lost = lost.withColumnRenamed("doc_id", "_lost_id")
     joined = docs.join(lost, docs["doc_id"].cast("long") == F.col("_lost_id"), "left").drop("_lost_id")
     names = docs.columns
