@@ -16,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,12 @@ BLOCK_IDS = 4096
 CHUNK_IDS = 1 << 16
 LEVEL = 3
 CACHED_PIECES = 1 << 20
-#: White space and the word after it, going on over white space beyond ASCII. Each boundary between
-#: pieces, from a character that is not white space to ASCII white space, is also a boundary of
-#: pre-tokens in byte-level patterns.
-PIECE = re.compile(r"\s*\S+(?:[^\S\t-\r ]\s*\S*)*|\s+")
+#: A word of plain letters before white space or a mark; or else white space and what follows up to
+#: ASCII white space after another character. Each boundary between pieces is also one of pre-tokens
+#: in byte-level patterns: letters end at the mark, and other characters at ASCII white space.
+PIECE = re.compile(
+    r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,!?]|$)|\s*\S+(?:[^\S\t-\r ]\s*\S*)*|\s+"
+)
 
 FILES = (
     "part int, chunk int, part_start bigint, n_ids bigint, doc_ids array<bigint>,"
@@ -107,12 +110,13 @@ class PieceEncoder:
         new: list[list[int]] = []
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
-            new += [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            new += [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         used = int(self.ends[-1])
         ends = used + np.cumsum([len(ids) for ids in new], dtype=np.int64)
         if ends[-1] > len(self.ids):
             self.ids = np.resize(self.ids, 2 * int(ends[-1]))
-        self.ids[used : ends[-1]] = [i for ids in new for i in ids]
+        flat = chain.from_iterable(new)
+        self.ids[used : ends[-1]] = np.fromiter(flat, np.uint32, int(ends[-1]) - used)
         first = len(self.known)
         self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
         self.ends = np.concatenate((self.ends, ends))
@@ -121,7 +125,7 @@ class PieceEncoder:
         split = [PIECE.findall(text) for text in texts]
         for _ in range(2):
             known = self.known
-            missing = list(dict.fromkeys(p for pieces in split for p in pieces if p not in known))
+            missing = list(set().union(*split).difference(known))
             if not missing:
                 break
             if known and len(known) + len(missing) > CACHED_PIECES:
@@ -129,8 +133,8 @@ class PieceEncoder:
                 continue
             self.learn(missing)
             break
-        known = self.known
-        return [self._gather([known[p] for p in pieces]) for pieces in split]
+        number = self.known.__getitem__
+        return [self._gather(list(map(number, pieces))) for pieces in split]
 
     def _gather(self, numbers: list[int]) -> np.ndarray:
         if not numbers:
