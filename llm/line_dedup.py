@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import fresh_name
+from llm.common import fresh_name, store
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -34,16 +34,15 @@ _STRIP = "".join(map(chr, (0x20, *range(0x09, 0x0E))))
 _LOWER = {code: code + 32 for code in range(65, 91)}
 
 
-def line_key(line: str) -> str:
-    return line.strip(_STRIP).translate(_LOWER)
-
-
 def long_keys(text: str | None, min_chars: int) -> list[str | None]:
     """The key of each line; None where it is shorter than ``min_chars`` code points."""
     keys = []
     for line in (text or "").split("\n"):
         stripped = line.strip(_STRIP)
-        keys.append(stripped.translate(_LOWER) if len(stripped) >= min_chars else None)
+        if len(stripped) < min_chars:
+            keys.append(None)
+        else:
+            keys.append(stripped.lower() if stripped.isascii() else stripped.translate(_LOWER))
     return keys
 
 
@@ -219,12 +218,14 @@ def shared_lines(
                 [pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "key"]
             )
 
-    suspected = given.mapInArrow(suspects, "doc_id bigint, key binary")
-    repeated = (
+    # Both sides of the join are stored tables, so a line of very many documents is split in it.
+    suspected = store(given.mapInArrow(suspects, "doc_id bigint, key binary"), "line-suspects")
+    repeated = store(
         suspected.groupBy("key")
         .agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
-        .select("key", "keeper")
+        .select("key", "keeper"),
+        "line-keepers",
     )
     return (
         suspected.join(repeated, "key")
