@@ -195,7 +195,7 @@ def url_login(text: str, scheme: int, at: int, out: list[Span]) -> int:
 def find(text: str) -> list[Span]:
     """All spans by start, then by kind as listed; places are code points, ends exclusive."""
     out: list[Span] = []
-    lowered = text.translate(_LOWER)
+    lowered = text.lower() if text.isascii() else text.translate(_LOWER)
     after_email = after_ip = after_card = after_phone = 0
     for last, (kind, length) in automaton().iter(lowered):
         at = last + 1 - length
