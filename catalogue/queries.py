@@ -299,7 +299,7 @@ def rollup_hll(grain: str, lgk: int = 12, slots: int | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         query = grain_query(grain)
         answer = rollup(
-            sketches(spark, sf_dir, "hll"), query.group_cols, HLL, lgk, slots, stored_lgk=12
+            sketches(spark, sf_dir, "hll"), query.group_cols, HLL, lgk, slots
         )
         truth = exact(events(spark, sf_dir), query)
         return bounded(truth, answer, query.group_cols, HLLPP_BOUND if lgk < 12 else SKETCH_BOUND)

@@ -26,11 +26,10 @@ from uniqtally.operators import (
     many_groups,
     merge_slots,
     rollup,
-    rows_per_split,
     sketch,
     sketch_sizes,
 )
-from uniqtally.operators.merging import FALLBACK_THRESHOLD, ONE_LEVEL_SPLITS, SPLIT_BYTES
+from uniqtally.operators.merging import FALLBACK_THRESHOLD
 from uniqtally.sources import synthetic
 
 GLOBAL, BY_GROUP, BY_DAY, BY_BOTH = ALL_QUERIES
@@ -165,17 +164,27 @@ def test_hot_group(spark):
     assert answers(sketch(df, BY_GROUP, THETA, 18, slots=8)) == truth
 
 
-def test_slots_follow_the_input_size(spark, monkeypatch):
-    df = synthetic(spark, rows=1000)
-    assert merge_slots(df) == 1
-    huge = spark.range(0, (ONE_LEVEL_SPLITS + 1) * SPLIT_BYTES // 8, 1, 10)
-    assert merge_slots(huge) == 65
-    monkeypatch.setattr("uniqtally.operators.merging.estimated_splits", lambda _: None)
-    assert merge_slots(df) == 1024
+def test_slots_do_not_depend_on_the_input(spark):
+    assert merge_slots(spark) == 8
+    small, large = (spark.range(0, n, 1, 10).selectExpr("id AS k") for n in (10, 1 << 40))
+    count = DistinctQuery("all", (), "k")
+    for build in (sketch, direct_sketch):
+        shapes = [
+            [line.strip(" +-()*") for line in plan_of(build(df, count, THETA)).split("\n\n")[0].split("\n")]
+            for df in (small, large)
+        ]
+        assert shapes[0] == shapes[1]
+        assert sum("Exchange" in line for line in shapes[0]) == 2
+
+
+def test_sql_text_merges_in_two_levels(spark):
+    synthetic(spark, rows=1000).createOrReplaceTempView("two_levels")
+    plan = plan_of(spark.sql(BY_GROUP.sketch_sql("two_levels", HLL))).split("\n\n")[0]
+    assert plan.count("Exchange") == 2
 
 
 def test_partial_sketches_before_the_shuffle(spark):
-    plan = plan_of(sketch(synthetic(spark, rows=10), BY_GROUP, THETA))
+    plan = plan_of(sketch(synthetic(spark, rows=10), BY_GROUP, THETA, slots=1))
     tree = plan.split("\n\n")[0]
     assert tree.count("Exchange") == 1 and tree.count("ObjectHashAggregate") == 2
     assert "partial_theta_sketch_agg" in plan
@@ -237,8 +246,8 @@ def test_merge_at_a_lower_lgk(spark):
     truth = answers(exact(df, BY_GROUP))
     for kind in SKETCH_KINDS:
         stored = build_sketch_table(df, kind=kind, lgk=14)
-        lower = answers(rollup(stored, ["group_id"], kind, 8, stored_lgk=14))
-        full = answers(rollup(stored, ["group_id"], kind, 14, stored_lgk=14))
+        lower = answers(rollup(stored, ["group_id"], kind, 8))
+        full = answers(rollup(stored, ["group_id"], kind, 14))
         assert lower != full
         assert all(lower[g] == pytest.approx(n, rel=0.3) for g, n in truth.items())
         assert all(full[g] == pytest.approx(n, rel=0.04) for g, n in truth.items())
@@ -270,7 +279,7 @@ def test_many_groups_keeps_the_answer_and_the_setting(spark):
     query = DistinctQuery("groups", ("group_id",))
     before = spark.conf.get(FALLBACK_THRESHOLD)
     plain = answers(sketch(df, query, THETA))
-    with many_groups(spark, THETA):
+    with many_groups(spark, THETA, 12, 1 << 30):
         assert spark.conf.get(FALLBACK_THRESHOLD) == "16384"
         assert answers(sketch(df, query, THETA)) == plain
     assert spark.conf.get(FALLBACK_THRESHOLD) == before
@@ -280,13 +289,7 @@ def test_groups_that_fit_a_memory_budget(spark):
     # Full-grown: 64 KB each.
     assert hash_groups_within(THETA, 12, 256 << 20) == 4096
     assert hash_groups_within(THETA, 26, 1) == 1
-    # A million rows take 128 MB at most, which leaves room for many small sketches.
-    assert hash_groups_within(THETA, 12, 256 << 20, 1 << 20) == (128 << 20) // 2048
-    # Too many rows to bound by: all sketches must fit full-grown.
-    assert hash_groups_within(THETA, 12, 256 << 20, 1 << 30) == 4096
     assert hash_groups_within(HLL, 12, 1 << 30) > 200_000
-    df = spark.range(0, 4 * SPLIT_BYTES // 8, 1, 4)
-    assert rows_per_split(df, 1000) == 250
     with many_groups(spark, HLL, 4, task_bytes=1 << 50):
         assert spark.conf.get(FALLBACK_THRESHOLD) == str(2**31 - 1)
 

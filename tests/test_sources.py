@@ -110,7 +110,7 @@ def test_trip_cleaning(spark, kind):
 def test_trip_values_that_are_no_places(spark):
     doubles = [(NOON, 0.5, 1.0), (NOON, 1.9, 2.0), (NOON, float("nan"), 2.0), (NOON, 1e12, 2.0)]
     df = trips(spark.createDataFrame(doubles, TRIP_SCHEMA.format("double")))
-    assert [row.distinct_key for row in df.collect()] == ["route_1_2"]
+    assert [row.distinct_key for row in df.collect()] == ["route_1_2", "route_1000000000000_2"]
     texts = [("2024-03-01 10:00:00", "3", "4"), ("soon", "3", "4"), ("2024-03-01", "x", "4")]
     schema = "tpep_pickup_datetime string, PULocationID string, DOLocationID string"
     df = trips(spark.createDataFrame(texts, schema))
@@ -137,8 +137,10 @@ def test_row_cap_is_exact(spark, tmp_path, limit):
     assert capped.exceptAll(every).count() == 0
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 7, 100, 5000])
-def test_row_cap_chunks(spark, tmp_path, chunk_rows):
+@pytest.mark.parametrize("widths", [(1,), (7, 1), (100, 10, 1), (5000, 50, 1)])
+def test_row_cap_ranges(spark, tmp_path, monkeypatch, widths):
+    monkeypatch.setattr("uniqtally.sources.row_cap.WIDTHS", widths)
+    monkeypatch.setattr("uniqtally.sources.row_cap.FIRST_BATCH", 1)
     path = str(tmp_path / "trips")
     _trip_files(spark, path, rows=300, files=3)
     rows = spark.read.parquet(path).where("PULocationID > 10").select(
@@ -146,7 +148,7 @@ def test_row_cap_chunks(spark, tmp_path, chunk_rows):
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.row_index").alias(ROW),
     )
-    capped = cap_rows(rows, 123, chunk_rows)
+    capped = cap_rows(rows, 123)
     assert capped.count() == 123
     assert capped.columns == ["DOLocationID"]
     first = [row[0] for row in rows.orderBy(FILE, ROW).limit(123).collect()]
@@ -163,6 +165,23 @@ def test_row_cap_needs_no_single_task(spark, tmp_path):
     assert scanned == 1
 
 
+def test_row_cap_counts_no_file_behind_the_cut(spark, tmp_path):
+    path = str(tmp_path / "trips")
+    _trip_files(spark, path, rows=400, files=8)
+    (last,) = sorted(spark.read.parquet(path).inputFiles())[-1:]
+    with open(last.removeprefix("file://").removeprefix("file:"), "wb") as file:
+        file.write(b"no Parquet")
+    schema = "tpep_pickup_datetime timestamp_ntz, PULocationID bigint, DOLocationID bigint"
+    raw = spark.read.schema(schema).parquet(path)
+    assert trips(raw, max_rows=60).count() == 60
+
+
+def test_row_cap_above_an_int(spark, tmp_path):
+    path = str(tmp_path / "trips")
+    _trip_files(spark, path, rows=200)
+    assert load_trips(spark, path, max_rows=5_000_000_000).count() == load_trips(spark, path).count()
+
+
 def test_row_cap_without_files(spark):
     rows = [(NOON, 1, place) for place in range(1, 50)]
     raw = spark.createDataFrame(rows, TRIP_SCHEMA.format("int"))
@@ -220,9 +239,6 @@ class Session:
 
 def test_scratch_root_is_the_shared_folder(spark):
     assert scratch_root(Session(checkpoint_dir="s3://shared/folder/")) == "s3://shared/folder"
-    local = scratch_root(Session(master="local[4]"))
-    assert local == scratch_root(Session(master="local[2]"))
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_root(Session(master="yarn"))
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    assert scratch_root(spark) == (given.rstrip("/") if given else local)
+    unnamed = Session(sql_warehouse_dir="s3://warehouse")
+    assert scratch_root(unnamed) == "s3://warehouse/_scratch"
+    assert scratch_root(spark)

@@ -60,8 +60,12 @@ class SketchKind:
         """Scalar: estimated distinct count of a serialized sketch, as a double."""
         raise NotImplementedError
 
-    def estimate_sql(self, expression: str, lgk: int = DEFAULT_LGK) -> str:
-        """SQL text of the direct distinct-count aggregate over ``expression``."""
+    def build_sql(self, expression: str, lgk: int = DEFAULT_LGK) -> str:
+        """SQL text of the aggregate that builds a sketch of ``expression``."""
+        raise NotImplementedError
+
+    def estimate_sql(self, sketch: str, lgk: int = DEFAULT_LGK) -> str:
+        """SQL text of the estimate of the union of the sketches in ``sketch``."""
         raise NotImplementedError
 
     def buffer_bytes(self, lgk: int = DEFAULT_LGK) -> int:
@@ -82,12 +86,12 @@ class _Theta(SketchKind):
     def estimate(self, sketch):
         return F.theta_sketch_estimate(_column(sketch)).cast("double")
 
-    def estimate_sql(self, expression, lgk=DEFAULT_LGK):
-        lgk = self.check_lgk(lgk)
-        return (
-            f"CAST(theta_sketch_estimate(theta_sketch_agg(CAST({expression} AS STRING), {lgk}))"
-            " AS DOUBLE)"
-        )
+    def build_sql(self, expression, lgk=DEFAULT_LGK):
+        return f"theta_sketch_agg(CAST({expression} AS STRING), {self.check_lgk(lgk)})"
+
+    def estimate_sql(self, sketch, lgk=DEFAULT_LGK):
+        union = f"theta_union_agg({sketch}, {self.check_lgk(lgk)})"
+        return f"CAST(theta_sketch_estimate({union}) AS DOUBLE)"
 
     def buffer_bytes(self, lgk=DEFAULT_LGK):
         # The hash table is kept at twice the nominal entry count, eight bytes per entry.
@@ -109,12 +113,12 @@ class _Hll(SketchKind):
     def estimate(self, sketch):
         return F.hll_sketch_estimate(_column(sketch)).cast("double")
 
-    def estimate_sql(self, expression, lgk=DEFAULT_LGK):
-        lgk = self.check_lgk(lgk)
-        return (
-            f"CAST(hll_sketch_estimate(hll_sketch_agg(CAST({expression} AS STRING), {lgk}))"
-            " AS DOUBLE)"
-        )
+    def build_sql(self, expression, lgk=DEFAULT_LGK):
+        return f"hll_sketch_agg(CAST({expression} AS STRING), {self.check_lgk(lgk)})"
+
+    def estimate_sql(self, sketch, lgk=DEFAULT_LGK):
+        self.check_lgk(lgk)
+        return f"CAST(hll_sketch_estimate(hll_union_agg({sketch})) AS DOUBLE)"
 
     def buffer_bytes(self, lgk=DEFAULT_LGK):
         # One byte per register plus a fixed header.

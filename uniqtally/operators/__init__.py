@@ -14,7 +14,6 @@ from uniqtally.operators.merging import (
     many_groups,
     merge_by,
     merge_slots,
-    rows_per_split,
     sketch_by,
 )
 from uniqtally.operators.runtime import (
@@ -53,7 +52,6 @@ __all__ = [
     "merge_slots",
     "read_sketch_table",
     "rollup",
-    "rows_per_split",
     "runtime_stats",
     "sketch",
     "sketch_by",

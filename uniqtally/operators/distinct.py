@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uniqtally.functions.sketches import DEFAULT_LGK, SketchKind, sketch_kind
-from uniqtally.operators.merging import DISTINCT_COUNT, estimates, sketch_by
+from uniqtally.operators.merging import (
+    DISTINCT_COUNT,
+    SKETCH_BYTES,
+    estimates,
+    merge_slot,
+    merge_slots,
+    sketch_by,
+)
 
 DEFAULT_RELATIVE_SD = 0.05
 
@@ -18,6 +25,10 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Slices of the map tasks in SQL text, which has no session to ask.
+SQL_SLOTS = 200
+
+
 @dataclass(frozen=True)
 class DistinctQuery:
     """``COUNT(DISTINCT distinct_col)``, for the whole table or by group columns."""
@@ -41,8 +52,16 @@ class DistinctQuery:
             table, f"approx_count_distinct({_quoted(self.distinct_col)}, {relative_sd!r}D)"
         )
 
-    def sketch_sql(self, table: str, kind: SketchKind | str, lgk: int = DEFAULT_LGK) -> str:
-        return self.sql(table, sketch_kind(kind).estimate_sql(_quoted(self.distinct_col), lgk))
+    def sketch_sql(
+        self, table: str, kind: SketchKind | str, lgk: int = DEFAULT_LGK, slots: int = SQL_SLOTS
+    ) -> str:
+        """Sketches by group and slice of the map tasks, and above them their union by group."""
+        kind = sketch_kind(kind)
+        groups = "".join(f"{_quoted(name)}, " for name in self.group_cols)
+        built = f"{kind.build_sql(_quoted(self.distinct_col), lgk)} AS {SKETCH_BYTES}"
+        slot = f"pmod(spark_partition_id(), {slots})"
+        inner = f"SELECT {groups}{built} FROM {table} GROUP BY {groups}{slot}"
+        return self.sql(f"({inner})", kind.estimate_sql(SKETCH_BYTES, lgk))
 
 
 # The four queries by name and grain.
@@ -85,10 +104,21 @@ def sketch(
 
 
 def direct_sketch(
-    df: DataFrame, query: DistinctQuery, kind: SketchKind | str, lgk: int = DEFAULT_LGK
+    df: DataFrame,
+    query: DistinctQuery,
+    kind: SketchKind | str,
+    lgk: int = DEFAULT_LGK,
+    slots: int | None = None,
 ) -> DataFrame:
-    """Sketch estimate as one aggregate expression, with a single merge level."""
+    """Sketch estimate as one aggregate expression over sketches of slices of the map tasks.
+
+    With one slot it is a single aggregate over the rows, whose sketches all meet in one task.
+    """
     kind = sketch_kind(kind)
-    return _aggregate(
-        df, query.group_cols, kind.estimate(kind.build(query.distinct_col, lgk))
-    )
+    slots = merge_slots(df.sparkSession) if slots is None else slots
+    if slots <= 1:
+        estimate = kind.estimate(kind.build(query.distinct_col, lgk))
+        return _aggregate(df, query.group_cols, estimate)
+    built = kind.build(query.distinct_col, lgk).alias(SKETCH_BYTES)
+    sliced = df.groupBy(*query.group_cols, merge_slot(slots)).agg(built)
+    return _aggregate(sliced, query.group_cols, kind.estimate(kind.merge(SKETCH_BYTES, lgk)))

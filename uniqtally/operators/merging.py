@@ -6,13 +6,13 @@ there are splits. The two-level plan first merges within ``slots`` slices of the
 parallel, and then merges the slices. A slot is taken from the task number, so each map task still
 holds a single sketch per group, and which slot a sketch falls in does not change the union.
 
-``slots=None`` takes two levels for large inputs only. Pass 1 for a large input of very many groups
-none of which is found in many splits; it saves the second shuffle.
+``slots=None`` takes as many slots as the session has shuffle partitions, for inputs of any size.
+Pass 1 for an input of very many groups none of which is found in many splits; it saves the second
+shuffle.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from contextlib import contextmanager
 
@@ -25,36 +25,17 @@ SKETCH_BYTES = "sketch_bytes"
 DISTINCT_COUNT = "distinct_count"
 SLOT = "_merge_slot"
 
-# One task may merge this many sketches of a group before a second level pays off: at the default
-# size that is at most 256 MB through one task. With 4,000 splits both plans took the same time.
-ONE_LEVEL_SPLITS = 4096
-SPLIT_BYTES = 128 << 20
-SLOTS_FOR_UNKNOWN_SIZE = 1024
-
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 FALLBACK_THRESHOLD = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-# Memory that one task may spend on sketches under construction.
-TASK_SKETCH_BYTES = 1 << 30
 MAX_INT = 2**31 - 1
 
 
-def estimated_splits(df: DataFrame) -> int | None:
-    """About how many scan tasks feed ``df`` by the optimizer's size estimate, if there is one."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-    except AttributeError:
-        return None
-    return max(math.ceil(int(str(stats.sizeInBytes())) / SPLIT_BYTES), 1)
-
-
-def merge_slots(df: DataFrame) -> int:
-    """1 for inputs that one task can merge, else the square root of the number of splits."""
-    splits = estimated_splits(df)
-    if splits is None:
-        return SLOTS_FOR_UNKNOWN_SIZE
-    return 1 if splits <= ONE_LEVEL_SPLITS else math.isqrt(splits - 1) + 1
+def merge_slots(spark: SparkSession) -> int:
+    """Slices of map tasks that are merged in parallel: one per shuffle partition."""
+    return max(int(spark.conf.get(SHUFFLE_PARTITIONS)), 1)
 
 
-def _slot(slots: int) -> Column:
+def merge_slot(slots: int) -> Column:
     return F.pmod(F.spark_partition_id(), F.lit(slots)).alias(SLOT)
 
 
@@ -68,12 +49,12 @@ def sketch_by(
 ) -> DataFrame:
     """Group columns and one sketch of ``value`` per group (one row if there are no columns)."""
     kind = sketch_kind(kind)
-    slots = merge_slots(df) if slots is None else slots
+    slots = merge_slots(df.sparkSession) if slots is None else slots
     built = kind.build(value, lgk).alias(SKETCH_BYTES)
     if slots <= 1:
         return df.groupBy(*group_cols).agg(built)
     return (
-        df.groupBy(*group_cols, _slot(slots))
+        df.groupBy(*group_cols, merge_slot(slots))
         .agg(built)
         .groupBy(*group_cols)
         .agg(kind.merge(SKETCH_BYTES, lgk).alias(SKETCH_BYTES))
@@ -86,20 +67,19 @@ def merge_by(
     kind: SketchKind | str,
     lgk: int = DEFAULT_LGK,
     slots: int | None = None,
-    stored_lgk: int | None = None,
 ) -> DataFrame:
-    """Union of the stored sketches per group.
+    """Union of the stored sketches per group, of size ``lgk`` at most.
 
-    A Theta union is trimmed to ``lgk``. An HLL union keeps the size it was stored with, unless
-    ``stored_lgk`` says that it is larger than ``lgk``; then each sketch is lowered first.
+    A Theta union is trimmed to ``lgk``. HLL sketches are lowered to it first; smaller ones stay as
+    they are, and stored sizes may be mixed.
     """
     kind = sketch_kind(kind)
-    slots = merge_slots(table) if slots is None else slots
-    if kind is HLL and stored_lgk is not None and stored_lgk > lgk:
+    slots = merge_slots(table.sparkSession) if slots is None else slots
+    if kind is HLL:
         table = table.withColumn(SKETCH_BYTES, shrink_hll(SKETCH_BYTES, lgk))
     merged = kind.merge(SKETCH_BYTES, lgk).alias(SKETCH_BYTES)
     if slots > 1:
-        table = table.groupBy(*group_cols, _slot(slots)).agg(merged)
+        table = table.groupBy(*group_cols, merge_slot(slots)).agg(merged)
     return table.groupBy(*group_cols).agg(merged)
 
 
@@ -109,43 +89,23 @@ def estimates(sketches: DataFrame, group_cols: Sequence[str], kind: SketchKind |
     return sketches.select(*group_cols, estimate.alias(DISTINCT_COUNT))
 
 
-def hash_groups_within(
-    kind: SketchKind | str, lgk: int, task_bytes: int, rows_per_task: int | None = None
-) -> int:
-    """How many groups a task may hold in a hash map without exceeding its memory budget.
-
-    Either all sketches fit full-grown, or, as each row adds one key at most, the sketches grown
-    from ``rows_per_task`` rows fit together with so many small ones.
-    """
-    kind = sketch_kind(kind)
-    groups = task_bytes // kind.buffer_bytes(lgk)
-    if rows_per_task is not None:
-        groups = max(groups, (task_bytes - rows_per_task * kind.key_bytes) // kind.start_bytes)
-    return max(groups, 1)
-
-
-def rows_per_split(df: DataFrame, rows: int) -> int | None:
-    """About how many of the ``rows`` of an input one scan task reads."""
-    splits = estimated_splits(df)
-    return None if splits is None else math.ceil(rows / splits)
+def hash_groups_within(kind: SketchKind | str, lgk: int, task_bytes: int) -> int:
+    """How many groups a task may hold in a hash map if all its sketches are full-grown."""
+    return max(task_bytes // sketch_kind(kind).buffer_bytes(lgk), 1)
 
 
 @contextmanager
-def many_groups(
-    spark: SparkSession,
-    kind: SketchKind | str,
-    lgk: int = DEFAULT_LGK,
-    task_bytes: int = TASK_SKETCH_BYTES,
-    rows_per_task: int | None = None,
-):
-    """Let a task hash more groups before it turns to sorting, within a memory budget.
+def many_groups(spark: SparkSession, kind: SketchKind | str, lgk: int, task_bytes: int):
+    """Let a task hash more groups before it turns to sorting, within ``task_bytes``.
 
     Spark switches a sketch aggregate to sorting all further rows after 128 groups per task, which
-    costs about as much as an exact count. The setting is read when a query starts, so run the
-    action inside the block. A larger setting of the session is kept.
+    costs about as much as an exact count. What a task can spare is a share of the executor's memory
+    by its cores, which the caller knows. The setting belongs to the session and is read when a query
+    starts: run the action inside the block, and no other query of the session meanwhile. A larger
+    setting of the session is kept.
     """
     before = spark.conf.get(FALLBACK_THRESHOLD)
-    groups = max(int(before), hash_groups_within(kind, lgk, task_bytes, rows_per_task))
+    groups = max(int(before), hash_groups_within(kind, lgk, task_bytes))
     spark.conf.set(FALLBACK_THRESHOLD, str(min(groups, MAX_INT)))
     try:
         yield

@@ -11,11 +11,9 @@ from uniqtally.functions.metrics import size_ratio
 from uniqtally.functions.sketches import DEFAULT_LGK, SketchKind
 from uniqtally.operators.merging import (
     SKETCH_BYTES,
-    TASK_SKETCH_BYTES,
     estimates,
     many_groups,
     merge_by,
-    rows_per_split,
     sketch_by,
 )
 from uniqtally.sources.storage import store_table, stored_bytes
@@ -50,18 +48,17 @@ def store_sketch_table(
     distinct_col: str = "distinct_key",
     kind: SketchKind | str = "theta",
     lgk: int = DEFAULT_LGK,
-    task_bytes: int = TASK_SKETCH_BYTES,
-    input_rows: int | None = None,
+    task_bytes: int | None = None,
 ) -> DataFrame:
-    """Build a sketch table, with room for many groups per task, and store it.
+    """Build a sketch table and store it.
 
-    With ``input_rows`` known, more groups fit the same memory budget (see ``hash_groups_within``).
+    With ``task_bytes``, a task may spend so much on the sketches it builds (see ``many_groups``).
     """
-    rows_per_task = None if input_rows is None else rows_per_split(df, input_rows)
-    with many_groups(df.sparkSession, kind, lgk, task_bytes, rows_per_task):
-        return write_sketch_table(
-            build_sketch_table(df, group_cols, distinct_col, kind, lgk), path
-        )
+    table = build_sketch_table(df, group_cols, distinct_col, kind, lgk)
+    if task_bytes is None:
+        return write_sketch_table(table, path)
+    with many_groups(df.sparkSession, kind, lgk, task_bytes):
+        return write_sketch_table(table, path)
 
 
 def read_sketch_table(spark: SparkSession, path: str, cache: bool = False) -> DataFrame:
@@ -75,12 +72,9 @@ def rollup(
     kind: SketchKind | str,
     lgk: int = DEFAULT_LGK,
     slots: int | None = None,
-    stored_lgk: int | None = None,
 ) -> DataFrame:
     """Estimates at any subset of the stored grain; no columns means the whole table."""
-    return estimates(
-        merge_by(table, target_cols, kind, lgk, slots, stored_lgk), target_cols, kind
-    )
+    return estimates(merge_by(table, target_cols, kind, lgk, slots), target_cols, kind)
 
 
 def sketch_sizes(table: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from uniqtally.operators.distinct import (
     DistinctQuery,
     sketch,
 )
-from uniqtally.operators.merging import TASK_SKETCH_BYTES, many_groups, rows_per_split
+from uniqtally.operators.merging import many_groups
 from uniqtally.operators.runtime import runtime_stats, time_trials, trial_rows, trials_frame
 from uniqtally.operators.sketch_table import (
     MATERIALIZED_GRAIN,
@@ -135,13 +135,12 @@ def comparison_methods(
 
 
 def _room_for(
-    df: DataFrame, sketch: tuple[SketchKind, int] | None, task_bytes: int, rows: int | None = None
+    df: DataFrame, sketch: tuple[SketchKind, int] | None, task_bytes: int | None
 ) -> AbstractContextManager:
-    """Room for the groups of a sketch method over an input; other methods need none."""
-    if sketch is None:
+    """Room for the groups of a sketch method, if the caller gives any; other methods need none."""
+    if sketch is None or task_bytes is None:
         return nullcontext()
-    rows_per_task = None if rows is None else rows_per_split(df, rows)
-    return many_groups(df.sparkSession, *sketch, task_bytes, rows_per_task)
+    return many_groups(df.sparkSession, *sketch, task_bytes)
 
 
 def _measure(
@@ -194,7 +193,7 @@ def compare(
     include_direct: bool = True,
     view: str = INPUT_VIEW,
     store: str | None = None,
-    task_bytes: int = TASK_SKETCH_BYTES,
+    task_bytes: int | None = None,
 ) -> Comparison:
     """Run all methods on all queries over a canonical table.
 
@@ -212,7 +211,7 @@ def compare(
     summaries: list[DataFrame] = []
     for query in queries:
         for method in methods:
-            with _room_for(df, method.sketch, task_bytes, input_rows):
+            with _room_for(df, method.sketch, task_bytes):
                 counts[query.name, method.name], samples = _measure(
                     lambda: method.run(df, query),
                     f"{store}/{query.name}/{method.name}",
@@ -289,7 +288,7 @@ def compare_materialized(
     trials: int = 3,
     cache_sketch_table: bool = False,
     store: str | None = None,
-    task_bytes: int = TASK_SKETCH_BYTES,
+    task_bytes: int | None = None,
 ) -> DataFrame:
     """Build a sketch table of each kind and answer all queries from it.
 
@@ -308,7 +307,7 @@ def compare_materialized(
         def build() -> DataFrame:
             return build_sketch_table(df, grain, kind=kind, lgk=lgk)
 
-        with _room_for(df, (kind, lgk), task_bytes, comparison.input_rows):
+        with _room_for(df, (kind, lgk), task_bytes):
             stored, samples = _measure(build, path, warmups, trials)
         timed += trial_rows(kind.name, BUILD, samples)
         tables.append(

@@ -81,11 +81,12 @@ def report_text(df: DataFrame) -> DataFrame:
 def write_report(df: DataFrame, path: str) -> str:
     """Write a result table as one CSV file with a header, below the folder ``path``.
 
-    A result table has one row per run, query and method, so one task can write it.
+    A result table has one row per run, query and method, so one task can write it; what made
+    the table keeps its own tasks.
     """
     (
         report_text(df)
-        .coalesce(1)
+        .repartition(1)
         .write.mode("overwrite")
         .options(**CSV_QUOTING, nullValue="", emptyValue="")
         .option("ignoreLeadingWhiteSpace", False)

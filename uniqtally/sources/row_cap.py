@@ -1,56 +1,70 @@
 """Keep exactly n rows of a file-backed table without sending them through one task.
 
-``limit`` inside a plan gathers up to n rows of *every* partition into a single task. Here the rows
-are counted per stored chunk instead, the storage position of the last row to keep is looked up, and
-the table is filtered by that position. The filter on the file name also drops whole files.
+``limit`` inside a plan gathers up to n rows of *every* partition into a single task. Here files are
+counted in storage order, in growing batches, until they hold enough rows; the storage position of the
+last row to keep is looked up in the file that holds the cut, and the table is filtered by that
+position. Files behind the cut are neither counted nor read, since Spark drops files by their name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILE = "_file_path"
 ROW = "_row_index"
 # Spark's own columns for it; they need a scan of files below, and no join or aggregate between.
 FILE_POSITION = (f"_metadata.file_path AS {FILE}", f"_metadata.row_index AS {ROW}")
-CHUNK_ROWS = 1_000_000
+# Files counted by the first job, and by any job.
+FIRST_BATCH, LARGEST_BATCH = 4, 4096
+# A file's rows are counted in ranges of this width, those of the range with the cut in ranges of the
+# next, so no count has more than a few thousand ranges.
+WIDTHS = (1_000_000, 1_000, 1)
 
 
-def cap_rows(rows: DataFrame, limit: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def cap_rows(rows: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` rows in storage order; all rows if there are not more.
 
-    ``rows`` carries the storage position in the columns ``FILE`` and ``ROW``. Runs two counting
-    jobs: over all rows (position only), then over the one chunk that holds the cut.
+    ``rows`` carries the storage position in the columns ``FILE`` and ``ROW``.
     """
-    chunk = F.floor(F.col(ROW) / F.lit(chunk_rows)).alias("chunk")
-    # One row per million stored rows and file, so the running total may pass through one task.
-    running = Window.orderBy(FILE, "chunk").rowsBetween(Window.unboundedPreceding, 0)
-    cut_chunk = (
-        rows.groupBy(FILE, chunk)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("through", F.sum("n").over(running))
-        .where(F.col("through") >= limit)
-        .withColumn("before", F.col("through") - F.col("n"))
-        .agg(F.min(F.struct(FILE, "chunk", "before")).alias("cut"))
-        .select("cut.*")
-        .first()
-    )
-    if cut_chunk[FILE] is None:
+    cut = _cut_file(rows, limit)
+    if cut is None:
         return rows.drop(FILE, ROW)
+    file, missing = cut
+    first, end = 0, None
+    for width in WIDTHS:
+        within = (F.col(FILE) == file) & (F.col(ROW) >= first)
+        if end is not None:
+            within &= F.col(ROW) < end
+        part = F.floor(F.col(ROW) / F.lit(width)).alias("part")
+        counts = rows.where(within).groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()
+        for number, n in sorted(map(tuple, counts)):
+            if n >= missing:
+                break
+            missing -= n
+        first, end = number * width, (number + 1) * width
+    kept = (F.col(FILE) < file) | ((F.col(FILE) == file) & (F.col(ROW) < end))
+    return rows.where((F.col(FILE) <= file) & kept).drop(FILE, ROW)
+
 
-    file_path, first_row = cut_chunk[FILE], cut_chunk["chunk"] * chunk_rows
-    in_chunk = rows.where(
-        (F.col(FILE) == file_path)
-        & (F.col(ROW) >= first_row)
-        & (F.col(ROW) < first_row + chunk_rows)
-    )
-    # At most chunk_rows positions of one file.
-    last_row = (
-        in_chunk.select(ROW, F.row_number().over(Window.orderBy(ROW)).alias("rank"))
-        .where(F.col("rank") == limit - cut_chunk["before"])
-        .first()[ROW]
-    )
-    return rows.where(
-        (F.col(FILE) <= file_path) & ((F.col(FILE) < file_path) | (F.col(ROW) <= last_row))
-    ).drop(FILE, ROW)
+def _cut_file(rows: DataFrame, limit: int) -> tuple[str, int] | None:
+    """The file in which the rows reach ``limit``, and how many of its rows it takes."""
+    # The scan names files without a host as ``file:/x``, the list as ``file:///x``.
+    files = sorted(re.sub("^([^:/]+):///", r"\1:/", name) for name in rows.inputFiles())
+    at, size, missing = 0, FIRST_BATCH, limit
+    while at < len(files):
+        batch = files[at : at + size]
+        counted = (
+            rows.where((F.col(FILE) >= batch[0]) & (F.col(FILE) <= batch[-1]))
+            .groupBy(FILE)
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        counts = dict(map(tuple, counted.collect()))
+        for file in batch:
+            if counts.get(file, 0) >= missing:
+                return file, missing
+            missing -= counts.get(file, 0)
+        at, size = at + size, min(4 * size, LARGEST_BATCH)
+    return None

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +13,10 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 SIZE_TASKS = 256
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="uniqtally-")
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only for a local session."""
+    """The shared folder named by the cluster; where none is named, one in the warehouse."""
     shared = spark.conf.get(CHECKPOINT_DIR, None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"Set {CHECKPOINT_DIR} to a folder that all executors can reach")
-    return _local_root()
+    return (shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -17,8 +17,6 @@ DROPOFF_LOCATION = "DOLocationID"
 ROUTE_PREFIX = "route_"
 PICKUP_PREFIX = "pickup_"
 
-MAX_INT = 2**31 - 1
-
 
 def _usable(raw: DataFrame, name: str) -> Column:
     """Row test on the stored column, so that the Parquet reader can skip row groups."""
@@ -46,7 +44,7 @@ def trips(
 ) -> DataFrame:
     """Clean trip records: both places present and positive, time present.
 
-    A place that does not fit an int is dropped. ``max_rows`` > 0 keeps that many of the clean rows;
+    Places are whole numbers of up to 64 bits. ``max_rows`` > 0 keeps that many of the clean rows;
     which ones is not defined.
     """
     position = []
@@ -61,14 +59,14 @@ def trips(
         )
         .select(
             F.col(pickup_ts).try_cast("date").alias("pickup_date"),
-            F.col(pickup_location).try_cast("int").alias("pickup"),
-            F.col(dropoff_location).try_cast("int").alias("dropoff"),
+            F.col(pickup_location).try_cast("bigint").alias("pickup"),
+            F.col(dropoff_location).try_cast("bigint").alias("dropoff"),
             *position,
         )
         .where(F.col("pickup_date").isNotNull() & (F.col("pickup") > 0) & (F.col("dropoff") > 0))
     )
     if max_rows > 0:
-        places = cap_rows(places, min(max_rows, MAX_INT))
+        places = cap_rows(places, max_rows)
     return places.select(
         F.concat(
             F.lit(ROUTE_PREFIX),
