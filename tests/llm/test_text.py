@@ -1,0 +1,305 @@
+import hashlib
+import json
+import os
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from llm import byte_bpe, chat_format, mixing, personal_data, quality_rules, token_files, topk_search
+from llm.common import WORD, scratch_path
+from llm.oracles import ORACLES
+from llm.queries import QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+PATTERN = public_tokenizers.PATTERN
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, name):
+    sql = duckdb.connect()
+    for file in os.listdir(SF_DIR):
+        sql.execute(f"CREATE VIEW {file[:-8]} AS SELECT * FROM '{SF_DIR}/{file}'")
+    df = QUERIES[name](spark, SF_DIR)
+    columns = sorted(df.columns)
+    expected = sql.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
+    assert Counter(map(tuple, df.select(*columns).collect())) == Counter(expected)
+
+
+def test_operators_on_nothing(spark, no_docs):
+    for frame in (
+        quality_rules.judge(no_docs),
+        quality_rules.keep_good(no_docs),
+        personal_data.personal_data_digest(no_docs),
+        byte_bpe.round_trip(no_docs, RANKS, PATTERN),
+        mixing.mix_counts(no_docs),
+        mixing.mixed(no_docs),
+    ):
+        assert frame.count() == 0
+
+
+# --- personal data ---------------------------------------------------------------------------
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            luhn = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits[::-1]))
+            good = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 12 <= len(digits) <= 19 and luhn % 10 == 0,
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], list(BASE).index(s[2])))
+
+
+def test_base_spans_equal_the_patterns(documents):
+    rng = np.random.default_rng(4)
+    letters = list("ab1234.@+- ()é_0\n")
+    texts = ["".join(rng.choice(letters, 60)) for _ in range(4000)]
+    texts += ["4111 1111-1111 1111", "1.2.3.4.5.6.7.8", "a@b.c@d.e", "+1 (23) 456-7890.", "256.1.1.1"]
+    texts += [r.text for r in documents.select("text").collect()]
+    for text in texts:
+        got = [s for s in personal_data.find(text) if s[2] in BASE]
+        assert got == base_spans(text), text
+
+
+def test_added_spans():
+    text = "IBAN: GB82WEST12345698765432, account no 99887766, ssh://me:secret@host, accounts 1234567"
+    assert [(k, text[a:b]) for a, b, k in personal_data.find(text) if k not in BASE] == [
+        ("iban", "GB82WEST12345698765432"),
+        ("account", "99887766"),
+        ("url_login", "ssh://me:secret"),
+    ]
+
+
+def test_redaction_keeps_columns(odd_docs):
+    clean = personal_data.redact(odd_docs)
+    assert clean.columns == odd_docs.columns
+    (row,) = clean.where("doc_id = 12").collect()
+    assert row.text.endswith("@ + [ip] [email]")
+
+
+# --- quality ---------------------------------------------------------------------------------
+
+
+def test_repeated_words_by_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        words = rng.integers(0, 4, rng.integers(0, 40)).tolist()
+        runs = defaultdict(list)
+        for i in range(len(words) - 4):
+            runs[tuple(words[i : i + 5])].append(i)
+        covered = {i + j for at in runs.values() if len(at) > 1 for i in at for j in range(5)}
+        assert quality_rules.repeated_positions(np.array(words, dtype=np.int64)) == len(covered)
+
+
+def test_kept_rows_and_ablations(documents, odd_docs):
+    for docs in (documents, odd_docs):
+        judged = quality_rules.judge(docs)
+        kept = quality_rules.keep_good(docs)
+        assert kept.columns == docs.columns
+        good = Counter(r.doc_id for r in judged.where("kept").collect())
+        assert Counter(r.doc_id for r in kept.collect()) == good
+    rows = quality_rules.ledger(documents)
+    failed = [r.failed for r in rows.collect()]
+    for r in quality_rules.ablations(rows, quality_rules.STRICT).collect():
+        bit = 1 << quality_rules.rule_bit(r.rule)
+        assert (r.n_failed, r.n_only) == (sum(f & bit > 0 for f in failed), failed.count(bit))
+
+
+# --- byte BPE and token files ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(1 << 15, 512), (200, 40), (30, 4)])
+def test_round_trip(odd_docs, chunk, overlap):
+    docs = odd_docs.withColumn("ids", F.lit(1))
+    got = byte_bpe.encode(docs, RANKS, PATTERN, chunk, overlap, carry=("source",))
+    encoder = byte_bpe.encoding(RANKS, PATTERN)
+    expected = Counter(
+        (r.doc_id, r.source, tuple(encoder.encode_ordinary(r.text or ""))) for r in docs.collect()
+    )
+    rows = got.collect()
+    assert Counter(
+        (r.doc_id, r.source, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in rows
+    ) == expected
+    decoded = Counter((r.doc_id, bytes(r.decoded)) for r in byte_bpe.decode(got, RANKS).collect())
+    assert decoded == Counter((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+
+
+def test_stitching_any_text():
+    compiled, rng = regex.compile(PATTERN), np.random.default_rng(3)
+    for _ in range(1500):
+        text = "".join(rng.choice(list("aab1 \n'sré!  "), rng.integers(1, 90)))
+        step, overlap = int(rng.integers(3, 20)), int(rng.integers(1, 8))
+        starts = range(0, len(text), step)
+        chunks = [
+            (at, piece := text[at : at + step + overlap],
+             byte_bpe.boundaries(piece, compiled, at == starts[-1]))
+            for at in starts
+        ]
+        pieces = byte_bpe.stitch(chunks, compiled)
+        assert "".join(pieces) == text
+        assert [m for p in pieces for m in compiled.findall(p)] == compiled.findall(text)
+
+
+def test_token_files(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK_IDS", 64)
+    path = scratch_path(spark, "test-tokens")
+    token_files.write_tokens(odd_docs, path, JSON, end_id=2)
+    tokenizer = Tokenizer.from_file(JSON)
+    tokenizer.encode_special_tokens = True
+    rows = sorted(odd_docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    expected, start = [], 0
+    for r in rows:
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+        raw = np.array(ids, dtype="<u4").tobytes()
+        expected.append((r.doc_id, start, len(ids), zlib.crc32(raw), ids))
+        start += len(ids)
+    got = [tuple(r) for r in token_files.read_tokens(spark, path, with_ids=True).collect()]
+    assert sorted(got, key=lambda r: r[1]) == expected
+
+
+def test_bit_planes():
+    rng = np.random.default_rng(0)
+    for ids in ([], [0], [50256], rng.integers(0, 1 << 32, 9000), np.zeros(4096)):
+        ids = np.array(ids, dtype=np.uint32)
+        assert (token_files.unpack(token_files.pack(ids)) == ids).all()
+
+
+# --- chats -----------------------------------------------------------------------------------
+
+
+def test_layouts_and_escapes(spark):
+    text = "<|im_end|>\\<\\|x|> <"
+    records = [
+        {"prompt": "q", "completion": text},
+        {"instruction": "do", "input": "it", "output": "done"},
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": text}]},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": None}]},
+        {"other": 1},
+        {"role": None, "text": None},
+    ]
+    rows = [(i, 0, json.dumps(r)) for i, r in enumerate(records)] + [(9, None, None)]
+    df = spark.createDataFrame(rows, "c bigint, o bigint, r string")
+    shown = chat_format.formatted_turns(chat_format.canonical_turns(df, "c", "o", "r"))
+    found = defaultdict(list)
+    for r in shown.orderBy("conv_id", "step").collect():
+        found[r.conv_id] += chat_format.parse(r.formatted) if r.formatted else [r.layout[:8]]
+    assert found[0] == [("user", "q"), ("assistant", text)] == found[2]
+    assert found[1] == [("user", "do\n\nit"), ("assistant", "done")]
+    assert found[3] == [("user", "q"), ("assistant", "")]
+    assert found[4] == ["unknown:"] == found[9]
+    assert found[5] == [("", "")]
+
+
+# --- mixing ----------------------------------------------------------------------------------
+
+
+def check_mix(rows):
+    taken, targets = Counter(), {}
+    largest = Counter()
+    for r in rows:
+        assert 0 <= r.copies <= 3
+        taken[r.source] += r.copies * r.size
+        targets[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r.size)
+    for source, target in targets.items():
+        assert abs(taken[source] - target) <= largest[source] + 1e-6 * target + 1e-6
+    return targets
+
+
+def test_mix_meets_targets(documents, odd_docs):
+    for docs in (documents, odd_docs):
+        rows = mixing.mix_counts(docs, group=16).collect()
+        check_mix(rows)
+        assert len(rows) == docs.count()
+        again = mixing.mix_counts(docs.repartition(5), group=16).collect()
+        assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
+        taken = Counter(r.doc_id for r in mixing.mixed(docs, group=16).collect())
+        expected = Counter()
+        for r in rows:
+            expected[r.doc_id] += r.copies
+        assert taken == +expected
+
+
+def test_targets_stop_at_the_cap(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 10), ("c", 1000), (None, 5)], "source string, size bigint")
+    got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
+    assert (got["a"], got["b"], got[None]) == (30, 30, 15) and got["c"] == pytest.approx(950)
+
+
+def test_pivots_keep_mass_and_probabilities():
+    rng = np.random.default_rng(6)
+    size = rng.integers(1, 50, 40).astype(float)
+    mass = size * 0.3
+    hits = np.zeros(40)
+    for _ in range(3000):
+        out, left = mixing.pivot(mass, size, rng.random(40))
+        assert abs(out.sum() - mass.sum()) < 1e-6
+        assert all(out[i] in (0.0, size[i]) for i in range(40) if i != left)
+        hits += out / size
+    assert abs(hits / 3000 - 0.3).max() < 0.05
+
+
+# --- search ----------------------------------------------------------------------------------
+
+
+def test_top_k_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.integers(-3, 3, 8) / 8).tolist(), 0) for i in range(400)]
+    rows += [(i, [1.0] * 8, 0) for i in range(400, 700)]
+    rows += [(700, None, 0), (720, [1.0, None], 0), (740, [float("nan")] * 8, 0), (760, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int")
+    got = topk_search.top_k(df, F.col("vec_id") % 20 == 0, 20, query_block=8, candidate_block=50)
+    whole = {i: np.floor(64 * np.array(v)) for i, v, _ in rows[:700]} | {760: np.zeros(0)}
+    expected = set()
+    for q in (i for i in whole if i % 20 == 0):
+        scored = sorted(
+            (-int(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q
+        )
+        expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:20])}
+    assert {tuple(r) for r in got.collect()} == expected
+    assert topk_search.top_k(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
+
+
+# --- pipeline --------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, documents):
+    docs, counts = documents, [documents.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF_DIR)
+        assert docs.columns == documents.columns
+        counts.append(docs.count())
+    assert counts[0] > counts[1] == counts[2] > counts[3]
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+    encoder = byte_bpe.encoding(RANKS, PATTERN)
+    expected = Counter(
+        (r.doc_id, hashlib.md5(np.array(encoder.encode_ordinary(r.text), "<u4").tobytes()).digest())
+        for r in docs.collect()
+    )
+    assert Counter((r.doc_id, hashlib.md5(r.ids).digest()) for r in encoded.collect()) == expected
+    assert all(WORD.search(r.text) for r in docs.limit(5).collect())
