@@ -121,7 +121,9 @@ def encode(
     texts longer than ``chunk_chars`` are shuffled: once as chunks, once as pieces, each time spread
     by chunk, so that one very long text is encoded by many tasks.
     """
-    kept = docs.select("doc_id", "text", *carry)
+    # Carried columns have names of their own on the way.
+    named = [docs[c].alias(f"_carried{i}") for i, c in enumerate(carry)]
+    kept = docs.select("doc_id", "text", *named)
     schema = kept.drop("text").withColumn("ids", F.lit(b"")).schema
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
 
@@ -228,7 +230,7 @@ def encode(
         )
         .mapInArrow(joined, schema)
     )
-    return short.unionByName(long)
+    return short.unionByName(long).toDF("doc_id", *carry, "ids")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

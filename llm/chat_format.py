@@ -98,6 +98,13 @@ def fingerprints(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]
     return found
 
 
+def _parsed(raw: str | None) -> object:
+    try:
+        return json.loads(raw or "null")
+    except ValueError:
+        return None
+
+
 def record_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     out, renamed = [], dict(mapping.roles)
     for item in record.get(mapping.each) or [] if mapping.each else [record]:
@@ -119,8 +126,8 @@ def canonical_turns(
 ) -> DataFrame:
     """conv_id, position (of the record), step (of the turn in it), role, text, layout.
 
-    ``record_column`` holds JSON objects. A record whose fingerprint no mapping has, or that is not
-    an object, gives one row with null role and the layout ``unknown:<fingerprint>``, so nothing is
+    ``record_column`` holds JSON objects. A record whose fingerprint no mapping has, or that is no
+    JSON object, gives one row with null role and the layout ``unknown:<fingerprint>``, so nothing is
     lost unseen. Null texts are empty.
     """
     schema = "conv_id bigint, position bigint, step int, role string, text string, layout string"
@@ -131,7 +138,7 @@ def canonical_turns(
         for batch in batches:
             rows = []
             for conv, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                record = json.loads(raw) if raw else None
+                record = _parsed(raw)
                 paths = frozenset(field_paths(record)) if isinstance(record, dict) else frozenset()
                 if paths not in layouts:
                     layouts[paths] = fingerprint(set(paths))

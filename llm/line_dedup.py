@@ -245,18 +245,20 @@ def drop_shared_lines(
     """The rows of ``docs``, with all their columns, without the lines they lose.
 
     A null or empty text is one empty line and stays as it is. With ``with_counts``, the columns
-    ``n_lines`` (before dropping) and ``n_dropped`` follow.
+    ``n_lines`` (before dropping) and ``n_dropped`` follow, with an underscore after the name where
+    ``docs`` has it already.
     """
     keys = fresh_name(docs, "_keys")
     lost = shared_lines(docs, min_chars, min_docs, max_bits).withColumnsRenamed({"keys": keys})
-    lost = lost.withColumnRenamed("doc_id", "_lost_id")
-    joined = docs.join(lost, docs["doc_id"].cast("long") == F.col("_lost_id"), "left").drop("_lost_id")
+    lost_id = fresh_name(docs, "_lost_id")
+    lost = lost.withColumnRenamed("doc_id", lost_id)
+    joined = docs.join(lost, docs["doc_id"].cast("long") == F.col(lost_id), "left").drop(lost_id)
     names = docs.columns
     schema = docs.schema
     if with_counts:
-        schema = docs.select("*", F.lit(0).cast("long").alias("n_lines")).schema.add(
-            "n_dropped", "long"
-        )
+        zero = F.lit(0).cast("long")
+        counts = [fresh_name(docs, "n_lines"), fresh_name(docs, "n_dropped")]
+        schema = docs.select("*", *(zero.alias(name) for name in counts)).schema
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import store
+from llm.common import fresh_name, store
 from llm.components import connected_components
 from llm.words import batch_words, mix, shingles
 
@@ -483,5 +483,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, of the kept document of each component."""
     gone = near_duplicates(docs, width, percent).where(~F.col("kept"))
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    name = fresh_name(docs, "_gone")
+    gone = gone.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")

@@ -253,7 +253,10 @@ def span_text(spans: str, kinds: tuple[str, ...] = KINDS) -> str:
 
 
 def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
-    """The rows of ``docs`` with each span replaced by ``mark``; of spans that overlap, the first."""
+    """The rows of ``docs`` with each span replaced by ``mark``.
+
+    Spans that overlap are replaced together, by the mark of the first.
+    """
     names = docs.columns
     place = names.index("text")
 
@@ -262,7 +265,7 @@ def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
         for start, end, kind in find(text):
             if start >= at:
                 parts += [text[at:start], mark.format(kind=kind)]
-                at = end
+            at = max(at, end)
         return "".join([*parts, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

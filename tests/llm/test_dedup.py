@@ -192,6 +192,16 @@ def test_lines_of_odd_rows(odd_docs, bits):
     assert sum(r.n_dropped for r in got.collect()) == 3
 
 
+def test_clashing_columns(odd_docs):
+    names = ["_lost_id", "_keys", "_gone", "n_lines", "n_dropped", "key", "node", "root"]
+    docs = odd_docs.select("*", *(F.lit(7).alias(name) for name in names))
+    kept = line_dedup.drop_shared_lines(docs, with_counts=True)
+    assert kept.columns == [*docs.columns, "n_lines_", "n_dropped_"]
+    assert {r.n_lines for r in kept.collect()} == {7}
+    assert sum(r.n_dropped_ for r in kept.collect()) == 3
+    assert near_dedup.drop_near_duplicates(docs).columns == docs.columns
+
+
 def test_lines_of_nothing(no_docs):
     assert line_dedup.drop_shared_lines(no_docs).count() == 0
 

@@ -102,6 +102,12 @@ def test_redaction_keeps_columns(odd_docs):
     assert row.text.endswith("@ + [ip] [email]")
 
 
+def test_redaction_of_spans_that_overlap(spark):
+    docs = spark.createDataFrame([(1, "at ssh://me:secret@host.com/x")], "doc_id bigint, text string")
+    (row,) = personal_data.redact(docs).collect()
+    assert row.text == "at [url_login]/x"
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
@@ -135,8 +141,9 @@ def test_kept_rows_and_ablations(documents, odd_docs):
 
 @pytest.mark.parametrize(("chunk", "overlap"), [(1 << 15, 512), (200, 40), (30, 4)])
 def test_round_trip(odd_docs, chunk, overlap):
-    docs = odd_docs.withColumn("ids", F.lit(1))
-    got = byte_bpe.encode(docs, RANKS, PATTERN, chunk, overlap, carry=("source",))
+    docs = odd_docs.withColumn("ids", F.lit(1)).withColumn("row", F.lit(2)).withColumn("no", F.lit(3))
+    got = byte_bpe.encode(docs, RANKS, PATTERN, chunk, overlap, carry=("source", "row", "no"))
+    assert got.columns == ["doc_id", "source", "row", "no", "ids"]
     encoder = byte_bpe.encoding(RANKS, PATTERN)
     expected = Counter(
         (r.doc_id, r.source, tuple(encoder.encode_ordinary(r.text or ""))) for r in docs.collect()
@@ -202,7 +209,8 @@ def test_layouts_and_escapes(spark):
         {"other": 1},
         {"role": None, "text": None},
     ]
-    rows = [(i, 0, json.dumps(r)) for i, r in enumerate(records)] + [(9, None, None)]
+    rows = [(i, 0, json.dumps(r)) for i, r in enumerate(records)]
+    rows += [(9, None, None), (10, 0, "{no json"), (11, 0, "")]
     df = spark.createDataFrame(rows, "c bigint, o bigint, r string")
     shown = chat_format.formatted_turns(chat_format.canonical_turns(df, "c", "o", "r"))
     found = defaultdict(list)
@@ -211,7 +219,7 @@ def test_layouts_and_escapes(spark):
     assert found[0] == [("user", "q"), ("assistant", text)] == found[2]
     assert found[1] == [("user", "do\n\nit"), ("assistant", "done")]
     assert found[3] == [("user", "q"), ("assistant", "")]
-    assert found[4] == ["unknown:"] == found[9]
+    assert found[4] == found[9] == found[10] == found[11] == ["unknown:"]
     assert found[5] == [("", "")]
 
 
