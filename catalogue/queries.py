@@ -12,6 +12,7 @@ from uniqtally.functions import (
     HLL,
     THETA,
     break_even_queries,
+    size_ratio,
     hll_distinct,
     sketch_kind,
     theta_distinct,
@@ -21,6 +22,7 @@ from uniqtally.functions import (
 from uniqtally.operators import (
     DistinctQuery,
     approx,
+    build_sketch_table,
     direct_sketch,
     error_rows,
     estimates,
@@ -35,19 +37,28 @@ from uniqtally.operators import (
     table_stats,
 )
 from uniqtally.plans import (
+    MATRIX_SUMMARY_SCHEMA,
+    METHOD_RESULT_SCHEMA,
+    MATERIALIZATION_RESULT_SCHEMA,
     compare,
     compare_materialized,
     matrix_summary,
     read_report,
     report_text,
+    with_costs,
+    write_materialization_results,
+    write_matrix_summary,
+    write_method_results,
     write_report,
 )
 from uniqtally.plans import labels
 from uniqtally.sources import (
+    canonical_source,
     canonicalize,
     normalize_layout,
     register_input,
     scratch_path,
+    store_table,
     trips,
     workload_rows,
 )
@@ -140,6 +151,18 @@ def trip_clean_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trip_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trip table with the raw column names, stored and then loaded by the name of its dataset."""
+    raw = table(spark, sf_dir, "lineitem").select(
+        F.col("l_shipdate").alias("tpep_pickup_datetime"),
+        F.col("l_suppkey").alias("PULocationID"),
+        F.col("l_partkey").cast("double").alias("DOLocationID"),
+    )
+    path = scratch_path(spark, "raw-trips")
+    store_table(raw, path)
+    return canonical_source(spark, "taxi", path)
+
+
 def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_layout(events(spark, sf_dir), scratch_path(spark, "events"))
 
@@ -197,6 +220,48 @@ def sketch_by_flag(kind: str) -> Query:
     return run
 
 
+def orders_by(grain: str, method: str) -> Query:
+    """Estimates of so many orders that every method leaves its exact mode, against the exact count."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, query = order_lines(spark, sf_dir), grain_query(grain)
+        answer = approx(df, query) if method == "hllpp" else sketch(df, query, method, 12)
+        bound = HLLPP_BOUND if method == "hllpp" else SKETCH_BOUND
+        return bounded(exact(df, query), answer, query.group_cols, bound)
+
+    return run
+
+
+def orders_rollup(grain: str, kind: str, lgk: int = 12) -> Query:
+    """The same from sketches by day and flag."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, query = order_lines(spark, sf_dir), grain_query(grain)
+        stored = store_sketch_table(df, scratch_path(spark, f"order-sketches-{kind}"), kind=kind)
+        answer = rollup(stored, query.group_cols, kind, lgk)
+        bound = HLLPP_BOUND if lgk < 12 else SKETCH_BOUND
+        return bounded(exact(df, query), answer, query.group_cols, bound)
+
+    return run
+
+
+def union_of_flags(kind: str) -> Query:
+    """Orders with a return flag or the one after it, by merging the sketches of both."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, flags = order_lines(spark, sf_dir), GRAINS["by_group"]
+        built = build_sketch_table(df, flags, kind=kind)
+        before = F.translate("group_id", "ANR", "RAN").alias("group_id")
+        following = built.select(before, F.col("sketch_bytes").alias("next_bytes"))
+        both = sketch_kind(kind).merge_pair("sketch_bytes", "next_bytes", 12)
+        pairs = built.join(following, "group_id").select("group_id", both.alias("sketch_bytes"))
+        own_and_before = F.explode(F.array("group_id", before)).alias("group_id")
+        truth = exact(df.select("distinct_key", own_and_before), grain_query("by_group"))
+        return bounded(truth, estimates(pairs, flags, kind), flags, SKETCH_BOUND)
+
+    return run
+
+
 def exact_routes_by_pickup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact(line_trips(spark, sf_dir), grain_query("by_group"))
 
@@ -208,20 +273,20 @@ def exact_sql_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hllpp_sql_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, query = events(spark, sf_dir), grain_query("by_group")
-    df.createOrReplaceTempView("group_events")
-    answer = spark.sql(query.approx_sql("group_events"))
+    df.createOrReplaceTempView("hllpp_group_events")
+    answer = spark.sql(query.approx_sql("hllpp_group_events"))
     return bounded(exact(df, query), answer, query.group_cols, HLLPP_BOUND)
 
 
 def theta_sql_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events(spark, sf_dir).createOrReplaceTempView("group_events")
-    return spark.sql(grain_query("by_group").sketch_sql("group_events", THETA, EXACT_LGK))
+    events(spark, sf_dir).createOrReplaceTempView("theta_group_events")
+    return spark.sql(grain_query("by_group").sketch_sql("theta_group_events", THETA, EXACT_LGK))
 
 
 def hll_sql_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, query = events(spark, sf_dir), grain_query("by_group")
-    df.createOrReplaceTempView("group_events")
-    answer = spark.sql(query.sketch_sql("group_events", HLL))
+    df.createOrReplaceTempView("hll_group_events")
+    answer = spark.sql(query.sketch_sql("hll_group_events", HLL))
     return bounded(exact(df, query), answer, query.group_cols, SKETCH_BOUND)
 
 
@@ -338,7 +403,6 @@ def sketch_table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stored_sketches(spark, sf_dir, "theta", EXACT_LGK)
     raw = f"{sf_dir}/events.parquet"
     stats = table_stats(spark, read_sketch_table(spark, path), path, raw)
-    ratio = F.col("raw_input_size_bytes") / F.col("sketch_table_size_bytes")
     return stats.select(
         "num_sketch_rows",
         # A sketch holds at least its preamble and at most eight bytes per nominal entry.
@@ -347,7 +411,6 @@ def sketch_table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("average_size_in_range"),
         (F.col("sketch_table_size_bytes") > 0).alias("has_sketch_bytes"),
         (F.col("raw_input_size_bytes") > 0).alias("has_raw_bytes"),
-        (F.col("raw_to_sketch_size_ratio") == ratio).alias("ratio_matches"),
     )
 
 
@@ -459,11 +522,47 @@ def cost_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cost_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost columns of the materialization table, from the same stand-ins."""
+    times = (
+        table(spark, sf_dir, "orders")
+        .groupBy("o_custkey")
+        .agg(
+            (F.count(F.lit(1)) * 100).alias("build_time_ms"),
+            F.count_if(F.col("o_totalprice") >= 100000).alias("exact_query_time_ms"),
+            F.count_if(F.col("o_totalprice") < 100000).alias("sketch_query_time_ms"),
+        )
+    )
+    return with_costs(times).drop("build_time_ms", "exact_query_time_ms", "sketch_query_time_ms")
+
+
+def size_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as raw bytes, those of low price as sketch bytes; some have none."""
+    sizes = (
+        table(spark, sf_dir, "orders")
+        .groupBy("o_custkey")
+        .agg(
+            F.count(F.lit(1)).alias("raw"),
+            F.count_if(F.col("o_totalprice") < 100000).alias("sketch"),
+        )
+    )
+    ratio = size_ratio(F.col("raw"), F.col("sketch"))
+    return sizes.select("o_custkey", F.round(ratio, 8).alias("ratio"))
+
+
 # --- comparisons and reports -----------------------------------------------------------------
 
 
-def _compare_events(spark: SparkSession, df: DataFrame):
-    return compare(df, "events", theta_lgk=EXACT_LGK, warmups=1, trials=1, view="compared_events")
+def _compare_events(spark: SparkSession, df: DataFrame, include_direct: bool = True):
+    return compare(
+        df,
+        "events",
+        theta_lgk=EXACT_LGK,
+        warmups=1,
+        trials=1,
+        include_direct=include_direct,
+        view="compared_events" if include_direct else "compared_without_direct",
+    )
 
 
 def _checked(results: DataFrame, prefix: str) -> list:
@@ -486,18 +585,21 @@ def _checked(results: DataFrame, prefix: str) -> list:
     ]
 
 
-def method_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = _compare_events(spark, events(spark, sf_dir)).results
-    return results.select(
-        "dataset",
-        "query_name",
-        "method",
-        "input_rows",
-        "num_groups",
-        *_checked(results, "runtime"),
-        "relative_sd",
-        "notes",
-    )
+def method_results(include_direct: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        results = _compare_events(spark, events(spark, sf_dir), include_direct).results
+        return results.select(
+            "dataset",
+            "query_name",
+            "method",
+            "input_rows",
+            "num_groups",
+            *_checked(results, "runtime"),
+            "relative_sd",
+            "notes",
+        )
+
+    return run
 
 
 def materialization_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,8 +612,6 @@ def materialization_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         theta_lgk=EXACT_LGK,
         trials=1,
     )
-    exact_ms, sketch_ms = F.col("exact_query_time_ms"), F.col("sketch_query_time_ms")
-    never = F.col("break_even_queries") == "never"
     return results.select(
         "dataset",
         "sketch_type",
@@ -520,8 +620,6 @@ def materialization_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "input_rows",
         "num_sketch_rows",
         *_checked(results, "sketch_query"),
-        (never == (exact_ms <= sketch_ms)).alias("break_even_matches"),
-        (F.col("workload_10_exact_ms") == exact_ms * 10).alias("workload_matches"),
         (F.col("sketch_table_size_bytes") > 0).alias("has_sketch_bytes"),
         "notes",
     )
@@ -558,9 +656,37 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_report(spark, path, results.schema)
 
 
+def result_file(schema, write) -> Query:
+    """A result table of figures made from the daily results, written as CSV and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        daily = _daily_results(spark, sf_dir)
+        made = {
+            "string": lambda i: F.concat_ws(", ", F.lit(f'"{i}"'), "event_type", "day"),
+            "bigint": lambda i: F.col("n_rows") + i,
+            "int": lambda i: (F.col("users") + i).cast("int"),
+            "double": lambda i: F.col("n_rows") / 4 + i,
+        }
+        columns = [
+            made[f.dataType.simpleString()](i).alias(f.name) for i, f in enumerate(schema)
+        ]
+        path = write(daily.select(*columns), scratch_path(spark, "results"))
+        return read_report(spark, path, schema)
+
+    return run
+
+
+def matrix_summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_matrix_summary(matrix_summary_by_day(spark, sf_dir), scratch_path(spark, "matrix"))
+    return read_report(spark, path, MATRIX_SUMMARY_SCHEMA)
+
+
 def matrix_summary_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day stands in for a run and each event type for a query; some figures are missing."""
-    daily = _daily_results(spark, sf_dir)
+    """Each day stands in for a run and each event type for a query; some figures are missing.
+
+    The daily results, one row per day and type, are stored and read for all three tables.
+    """
+    daily = store_table(_daily_results(spark, sf_dir), scratch_path(spark, "daily"))
     runs = daily.groupBy(F.col("day").alias("run_dir")).agg(
         F.lit("events").alias("dataset"),
         F.lit("uniform").alias("workload"),
@@ -613,6 +739,7 @@ QUERIES: dict[str, Query] = {
     "canonical_events": events,
     "trip_clean": line_trips,
     "trip_clean_capped": trip_clean_capped,
+    "trip_dataset": trip_dataset,
     "stored_events": stored_events,
     "named_input_rows": named_input_rows,
     "synth_uniform": synthetic_rows("uniform", 10_000, 100),
@@ -637,6 +764,21 @@ QUERIES: dict[str, Query] = {
     "hll_sql_by_group": hll_sql_by_group,
     "hll_direct_by_day": hll_direct_by_day,
     "hll_ship_days_by_flag": hll_ship_days_by_flag,
+    **{
+        f"{method}12_orders_{grain}": orders_by(grain, method)
+        for method in ("theta", "hll")
+        for grain in ("global", "by_day_group")
+    },
+    "hllpp_orders_global": orders_by("global", "hllpp"),
+    "hllpp_orders_by_flag": orders_by("by_group", "hllpp"),
+    **{
+        f"rollup_{kind}12_orders_{grain}": orders_rollup(grain, kind)
+        for kind in ("theta", "hll")
+        for grain in ("global", "by_group")
+    },
+    "rollup_hll_lower_lgk_orders": orders_rollup("by_group", "hll", lgk=10),
+    "union_flags_theta": union_of_flags("theta"),
+    "union_flags_hll": union_of_flags("hll"),
     "null_and_empty_keys": null_and_empty_keys,
     "sketch_table_theta": sketch_table_theta,
     "sketch_table_hll": sketch_table_hll,
@@ -656,9 +798,17 @@ QUERIES: dict[str, Query] = {
     "exact_summary": exact_summary("by_group"),
     "runtime_stats": runtime_stats_by_type,
     "cost_model": cost_model,
-    "method_results": method_results,
+    "cost_columns": cost_columns,
+    "size_ratios": size_ratios,
+    "method_results": method_results(include_direct=True),
+    "method_results_without_direct": method_results(include_direct=False),
     "materialization_results": materialization_results,
     "csv_format": csv_format,
     "csv_roundtrip": csv_roundtrip,
+    "method_result_file": result_file(METHOD_RESULT_SCHEMA, write_method_results),
+    "materialization_result_file": result_file(
+        MATERIALIZATION_RESULT_SCHEMA, write_materialization_results
+    ),
     "matrix_summary": matrix_summary_by_day,
+    "matrix_summary_file": matrix_summary_file,
 }
