@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 Environment: ``BENCH_SF_DIR`` (tables), ``BENCH_CPUS``, ``BENCH_TRIALS``, and ``BENCH_ROWS`` (size of
-the generated uniform workload, 0 to leave it out). Each figure is the median of the trials after
+each generated workload, 0 to leave them out). Each figure is the median of the trials after
 one warm-up; every trial computes all rows and columns of the answer.
 """
 
@@ -12,7 +12,6 @@ import os
 import re
 import statistics
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -35,7 +34,12 @@ from uniqtally.operators import (  # noqa: E402
     store_sketch_table,
     time_trials,
 )
-from uniqtally.sources import matrix_parameters, normalize_layout, synthetic  # noqa: E402
+from uniqtally.sources import (  # noqa: E402
+    matrix_parameters,
+    normalize_layout,
+    scratch_path,
+    synthetic,
+)
 
 # Registered queries that are timed as they are.
 HEADLINE = [
@@ -43,6 +47,7 @@ HEADLINE = [
     "theta_suppliers_by_order",
     "exact_routes_by_pickup",
     "trip_clean",
+    "trip_clean_capped",
     "union_pairs_theta",
     "error_summary",
     "error_summary_by_day_group",
@@ -50,6 +55,7 @@ HEADLINE = [
     "cost_model",
     "matrix_summary",
 ]
+WORKLOADS = ("uniform", "high_cardinality", "many_groups", "skewed")
 
 
 def session(cpus: str) -> SparkSession:
@@ -90,7 +96,7 @@ def registered(spark: SparkSession, sf_dir: str) -> dict:
     lines = order_lines(spark, sf_dir)
     stored = {
         kind: store_sketch_table(
-            events(spark, sf_dir), f"{tempfile.mkdtemp(prefix='run-')}/{kind}", kind=kind
+            events(spark, sf_dir), scratch_path(spark, f"bench-{kind}"), kind=kind
         )
         for kind in ("theta", "hll")
     }
@@ -107,21 +113,23 @@ def registered(spark: SparkSession, sf_dir: str) -> dict:
     )
 
 
-def generated(spark: SparkSession, rows: int, cpus: int) -> dict:
-    """All methods on the uniform workload at the size and shape of the comparison matrix."""
-    distinct, groups = matrix_parameters("uniform", rows)
-    root = tempfile.mkdtemp(prefix="run-")
-    source = synthetic(spark, "uniform", rows, distinct, groups, days=30, partitions=cpus)
+def generated(spark: SparkSession, workload: str, rows: int, cpus: int) -> dict:
+    """All methods on a workload at the size and shape of the comparison matrix."""
+    distinct, groups = matrix_parameters(workload, rows)
+    root = scratch_path(spark, f"bench-{workload}")
+    source = synthetic(spark, workload, rows, distinct, groups, days=30, partitions=cpus)
     df = normalize_layout(source, f"{root}/input.parquet")
+    # The names of the uniform workload are those of earlier rounds.
+    prefix = "generated_" if workload == "uniform" else f"{workload}_"
     builds = {
-        f"generated_build_{kind}": (lambda kind=kind: build_sketch_table(df, kind=kind))
+        f"{prefix}build_{kind}": (lambda kind=kind: build_sketch_table(df, kind=kind))
         for kind in ("theta", "hll")
     }
     stored = {
         kind: store_sketch_table(df, f"{root}/{kind}", kind=kind)
         for kind in ("theta", "hll")
     }
-    return builds | methods(df, stored, "generated_")
+    return builds | methods(df, stored, prefix)
 
 
 def main() -> None:
@@ -131,8 +139,8 @@ def main() -> None:
     rows = int(os.environ.get("BENCH_ROWS", "1000000"))
     spark = session(cpus)
     runs = registered(spark, sf_dir)
-    if rows > 0:
-        runs |= generated(spark, rows, int(cpus))
+    for workload in WORKLOADS if rows > 0 else ():
+        runs |= generated(spark, workload, rows, int(cpus))
     seconds = {}
     for name, build in runs.items():
         seconds[name] = statistics.median(time_trials(build, 1, trials)) / 1000

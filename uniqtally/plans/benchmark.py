@@ -36,7 +36,7 @@ def run_benchmark(
     """Write input, sketch tables and both result files below ``run_dir``; return the results."""
     raw_path = f"{run_dir}/data/{dataset.lower()}.parquet"
     source = canonical_source(spark, dataset, input_path, max_rows, **workload)
-    table, _ = register_input(normalize_layout(source, raw_path), cache_input)
+    table, input_rows = register_input(normalize_layout(source, raw_path), cache_input)
     sizes = {"theta_lgk": theta_lgk, "hll_lgk": hll_lgk, "warmups": warmups, "trials": trials}
     try:
         comparison = compare(
@@ -45,6 +45,7 @@ def run_benchmark(
             relative_sd=relative_sd,
             include_direct=include_direct,
             store=f"{run_dir}/counts",
+            input_rows=input_rows,
             **sizes,
         )
         methods_path = write_method_results(comparison.results, run_dir)

@@ -194,15 +194,17 @@ def compare(
     view: str = INPUT_VIEW,
     store: str | None = None,
     task_bytes: int | None = None,
+    input_rows: int | None = None,
 ) -> Comparison:
     """Run all methods on all queries over a canonical table.
 
+    ``input_rows`` saves counting them again.
     ``task_bytes`` is what one task may spend on sketches under construction.
     """
     spark = df.sparkSession
     store = store or scratch_path(spark, "counts")
     df.createOrReplaceTempView(view)
-    input_rows = df.count()
+    input_rows = df.count() if input_rows is None else input_rows
 
     methods = comparison_methods(spark, view, relative_sd, theta_lgk, hll_lgk, include_direct)
     counts: dict[tuple[str, str], DataFrame] = {}
