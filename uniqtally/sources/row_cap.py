@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILE = "_file_path"
@@ -19,8 +19,8 @@ ROW = "_row_index"
 FILE_POSITION = (f"_metadata.file_path AS {FILE}", f"_metadata.row_index AS {ROW}")
 # Files counted by the first job, and by any job.
 FIRST_BATCH, LARGEST_BATCH = 4, 4096
-# A file's rows are counted in ranges of this width, those of the range with the cut in ranges of the
-# next, so no count has more than a few thousand ranges.
+# Files are counted in ranges of rows of this width, the range with the cut in ranges of the next, so no
+# count has more than a few thousand ranges besides one per file.
 WIDTHS = (1_000_000, 1_000, 1)
 
 
@@ -29,18 +29,15 @@ def cap_rows(rows: DataFrame, limit: int) -> DataFrame:
 
     ``rows`` carries the storage position in the columns ``FILE`` and ``ROW``.
     """
-    cut = _cut_file(rows, limit)
+    cut = _cut_range(rows, limit)
     if cut is None:
         return rows.drop(FILE, ROW)
-    file, missing = cut
-    first, end = 0, None
-    for width in WIDTHS:
-        within = (F.col(FILE) == file) & (F.col(ROW) >= first)
-        if end is not None:
-            within &= F.col(ROW) < end
-        part = F.floor(F.col(ROW) / F.lit(width)).alias("part")
-        counts = rows.where(within).groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()
-        for number, n in sorted(map(tuple, counts)):
+    file, number, missing = cut
+    first, end = number * WIDTHS[0], (number + 1) * WIDTHS[0]
+    for width in WIDTHS[1:]:
+        within = (F.col(FILE) == file) & (F.col(ROW) >= first) & (F.col(ROW) < end)
+        counts = rows.where(within).groupBy(_part(width)).agg(F.count(F.lit(1)).alias("n"))
+        for number, n in sorted(map(tuple, counts.collect())):
             if n >= missing:
                 break
             missing -= n
@@ -49,8 +46,12 @@ def cap_rows(rows: DataFrame, limit: int) -> DataFrame:
     return rows.where((F.col(FILE) <= file) & kept).drop(FILE, ROW)
 
 
-def _cut_file(rows: DataFrame, limit: int) -> tuple[str, int] | None:
-    """The file in which the rows reach ``limit``, and how many of its rows it takes."""
+def _part(width: int) -> Column:
+    return F.floor(F.col(ROW) / F.lit(width)).alias("part")
+
+
+def _cut_range(rows: DataFrame, limit: int) -> tuple[str, int, int] | None:
+    """File and widest range in which the rows reach ``limit``, and how many of its rows it takes."""
     # The scan names files without a host as ``file:/x``, the list as ``file:///x``.
     files = sorted(re.sub("^([^:/]+):///", r"\1:/", name) for name in rows.inputFiles())
     at, size, missing = 0, FIRST_BATCH, limit
@@ -58,13 +59,12 @@ def _cut_file(rows: DataFrame, limit: int) -> tuple[str, int] | None:
         batch = files[at : at + size]
         counted = (
             rows.where((F.col(FILE) >= batch[0]) & (F.col(FILE) <= batch[-1]))
-            .groupBy(FILE)
+            .groupBy(FILE, _part(WIDTHS[0]))
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        counts = dict(map(tuple, counted.collect()))
-        for file in batch:
-            if counts.get(file, 0) >= missing:
-                return file, missing
-            missing -= counts.get(file, 0)
+        for file, number, n in sorted(map(tuple, counted.collect())):
+            if n >= missing:
+                return file, number, missing
+            missing -= n
         at, size = at + size, min(4 * size, LARGEST_BATCH)
     return None
