@@ -221,7 +221,7 @@ def sketch_by_flag(kind: str) -> Query:
 
 
 def orders_by(grain: str, method: str) -> Query:
-    """Estimates of so many orders that every method leaves its exact mode, against the exact count."""
+    """Estimates of orders, globally and by flag too many to be counted exactly, against the exact count."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df, query = order_lines(spark, sf_dir), grain_query(grain)
