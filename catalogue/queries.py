@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -323,8 +324,10 @@ def theta_suppliers_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch(lines, DistinctQuery("by_order", ("group_id",), "l_suppkey"), THETA, slots=1)
 
 
-def null_and_empty_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nulls are counted by no method; empty text is counted by the exact one only."""
+def null_and_empty_keys(
+    spark: SparkSession, sf_dir: str, empty_as_value: bool = False
+) -> DataFrame:
+    """Nulls are counted by no method; empty text by the exact one only, unless it is a value."""
     key = (
         F.when(F.col("event_type") == "view", F.lit(None))
         .when(F.col("event_type") == "click", F.lit(""))
@@ -332,7 +335,7 @@ def null_and_empty_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Views form a group in which every key is null.
     group = F.when(F.col("event_type") == "view", F.lit("view"))
-    df = canonicalize(table(spark, sf_dir, "events"), key, group, "ts")
+    df = canonicalize(table(spark, sf_dir, "events"), key, group, "ts", empty_as_value)
     query = grain_query("by_group")
     answer = sketch(df, query, THETA, EXACT_LGK)
     return error_rows(exact(df, query), answer, query.group_cols, null_safe=True).select(
@@ -780,6 +783,7 @@ QUERIES: dict[str, Query] = {
     "union_flags_theta": union_of_flags("theta"),
     "union_flags_hll": union_of_flags("hll"),
     "null_and_empty_keys": null_and_empty_keys,
+    "empty_keys_as_values": partial(null_and_empty_keys, empty_as_value=True),
     "sketch_table_theta": sketch_table_theta,
     "sketch_table_hll": sketch_table_hll,
     "sketch_table_stats": sketch_table_stats,

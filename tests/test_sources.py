@@ -155,6 +155,17 @@ def test_row_cap_ranges(spark, tmp_path, monkeypatch, widths):
     assert sorted(row[0] for row in capped.collect()) == sorted(first)
 
 
+@pytest.mark.parametrize("limit", [32_768, 32_769, 70_001])
+def test_row_cap_in_a_large_file(spark, tmp_path, limit):
+    path = str(tmp_path / "trips")
+    _trip_files(spark, path, rows=100_000, files=1)
+    capped = load_trips(spark, path, max_rows=limit)
+    assert capped.count() == limit
+    last = capped.agg(F.max(F.split("distinct_key", "_")[2].cast("int"))).first()[0]
+    # 49 of 50 rows are clean, in the order of their ids.
+    assert last == (limit - 1) // 49 * 50 + (limit - 1) % 49 + 1
+
+
 def test_row_cap_needs_no_single_task(spark, tmp_path):
     path = str(tmp_path / "trips")
     _trip_files(spark, path)
@@ -242,3 +253,11 @@ def test_scratch_root_is_the_shared_folder(spark):
     unnamed = Session(sql_warehouse_dir="s3://warehouse")
     assert scratch_root(unnamed) == "s3://warehouse/_scratch"
     assert scratch_root(spark)
+
+
+def test_empty_keys_as_values(spark):
+    rows = [(key, "g", NOON) for key in ("a", "b", "", None, "a")]
+    events = spark.createDataFrame(rows, "k string, g string, ts timestamp")
+    for switch, keys in ((False, {"a", "b", "", None}), (True, {"=a", "=b", "=", None})):
+        df = canonicalize(events, "k", "g", "ts", empty_as_value=switch)
+        assert {row.distinct_key for row in df.collect()} == keys

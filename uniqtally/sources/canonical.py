@@ -21,11 +21,20 @@ def _column(value: Column | str) -> Column:
 
 
 def canonicalize(
-    df: DataFrame, key: Column | str, group: Column | str, ts: Column | str
+    df: DataFrame,
+    key: Column | str,
+    group: Column | str,
+    ts: Column | str,
+    empty_as_value: bool = False,
 ) -> DataFrame:
-    """Project any table onto ``distinct_key``, ``group_id`` and ``date_bucket``."""
+    """Project any table onto ``distinct_key``, ``group_id`` and ``date_bucket``.
+
+    Sketches skip empty text. With ``empty_as_value`` every key that is not null gets a sign before
+    it, so that all methods count empty text as one key more.
+    """
+    text = _column(key).cast("string")
     return df.select(
-        _column(key).cast("string").alias(DISTINCT_KEY),
+        (F.concat(F.lit("="), text) if empty_as_value else text).alias(DISTINCT_KEY),
         _column(group).cast("string").alias(GROUP_ID),
         F.to_date(_column(ts)).alias(DATE_BUCKET),
     )
