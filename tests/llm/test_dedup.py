@@ -303,6 +303,25 @@ def test_fuzzy_passages_and_clean_documents(spark):
     assert found.n_equal == 87
 
 
+@pytest.mark.parametrize("period", [1, 5, 15, 16, 40])
+def test_passages_of_a_short_period(spark, period):
+    rng = np.random.default_rng(period)
+
+    def noise(n):
+        return [f"n{rng.integers(1 << 40)}" for _ in range(n)]
+
+    line = [f"w{i}" for i in range(period)]
+    shared = (line * 300)[:300]
+    rows = [
+        (1, " ".join([*noise(40), *shared, *noise(40)])),
+        (2, " ".join([*noise(7), *shared, *noise(60)])),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    (found,) = substring_dedup.repeated_passages(docs).collect()
+    assert (found.doc_id, found.start, found.end, found.others) == (2, 7, 307, [1])
+    assert found.n_equal == 300
+
+
 def test_chains_follow_the_fenwick_tree():
     a = np.array([0, 10, 20, 30, 40, 50, 60])
     b = np.array([5, 15, 400, 35, 300, 55, 65])
