@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from llm import secret_scan
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = " || ".join(f"chr({code})" for code in (0x20, *range(0x09, 0x0E)))
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -133,10 +135,48 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 ) WHERE rank <= 20
 """
 
+
+
+def _secrets() -> str:
+    """Spans by rule: what lies between the matches tells where they are."""
+    found = []
+    for number, rule in enumerate(secret_scan.RULES):
+        case = "(?i)" if rule.fold_case else ""
+        search, whole = (p.replace("'", "''") for p in (rule.search, rule.whole or rule.search))
+        found.append(f"""
+    SELECT row, {number} AS rule, start, start + length(m) AS stop FROM (
+        SELECT row, m, (list_sum(list_transform(between[:i], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(ms[: i - 1], lambda x: length(x))), 0))::BIGINT AS start
+        FROM (
+            SELECT row, unnest(ms) AS m, generate_subscripts(ms, 1) AS i, ms, between FROM (
+                SELECT row, regexp_extract_all(t, '{case}{search}') AS ms,
+                    string_split_regex(t, '{case}{search}') AS between FROM texts
+            )
+        )
+    ) WHERE regexp_full_match(m, '{case}{whole}')""")
+    base = len(secret_scan.BASE)
+    names = [rule.kind for rule in secret_scan.RULES]
+    listed = ", ".join(f"'{name}'" for name in names)
+    counts = ",\n    ".join(
+        f"count(*) FILTER (WHERE rule = {i}) AS n_{name}" for i, name in enumerate(names)
+    )
+    shown = f"([{listed}])[rule + 1] || ':' || start || ':' || stop"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(found)})
+SELECT doc_id, {counts},
+    sha256(coalesce(string_agg({shown}, ',' ORDER BY start, rule) FILTER (WHERE rule < {base}), ''))
+        AS base_sha256,
+    coalesce(string_agg({shown}, ',' ORDER BY start, rule), '') AS spans
+FROM texts LEFT JOIN spans USING (row) GROUP BY row, doc_id
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_near_dedup": NEAR_DUPLICATES.format(width=3, percent=85),
     "op3_quality_rules": QUALITY,
     "op4_line_dedup": LINES,
     "op7_chat_format": CHATS,
     "op10_topk_search": TOP_K,
+    "op12_secret_scan": _secrets(),
 }

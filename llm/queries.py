@@ -16,9 +16,12 @@ from llm import (
     near_dedup,
     personal_data,
     quality_rules,
+    secret_scan,
     substring_dedup,
+    token_alignment,
     token_files,
     topk_search,
+    whitening,
 )
 from llm.common import scratch_path, table
 
@@ -93,6 +96,19 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.alignment_digest(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -106,5 +122,8 @@ QUERIES: dict[str, Query] = {
         op8_mixing,
         op9_token_files,
         op10_topk_search,
+        op11_token_alignment,
+        op12_secret_scan,
+        op13_whitening,
     )
 }
