@@ -122,7 +122,8 @@ def generated(spark: SparkSession, workload: str, rows: int, cpus: int) -> dict:
     # The names of the uniform workload are those of earlier rounds.
     prefix = "generated_" if workload == "uniform" else f"{workload}_"
     builds = {
-        f"{prefix}build_{kind}": (lambda kind=kind: build_sketch_table(df, kind=kind))
+        # Each split holds a few rows per day and group, so one level of merging will do.
+        f"{prefix}build_{kind}": (lambda kind=kind: build_sketch_table(df, kind=kind, slots=1))
         for kind in ("theta", "hll")
     }
     stored = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from functools import partial
 
 from pyspark.errors import AnalysisException
@@ -25,17 +26,27 @@ from uniqtally.operators import (
     approx,
     build_sketch_table,
     direct_sketch,
+    distinct_estimate,
     error_rows,
     estimates,
     exact,
+    highest,
+    lowest,
+    mean,
+    measures_by,
     read_sketch_table,
+    rebuild_partitions,
     rollup,
+    row_count,
     runtime_stats,
     sketch,
+    sketch_sizes,
     summarize_errors,
     summarize_exact,
     store_sketch_table,
     table_stats,
+    total,
+    value_count,
 )
 from uniqtally.plans import (
     MATRIX_SUMMARY_SCHEMA,
@@ -54,12 +65,15 @@ from uniqtally.plans import (
 )
 from uniqtally.plans import labels
 from uniqtally.sources import (
+    bucketed_layout,
     canonical_source,
     canonicalize,
+    normalize_and_count,
     normalize_layout,
     register_input,
     scratch_path,
     store_table,
+    stored_bytes,
     trips,
     workload_rows,
 )
@@ -174,6 +188,23 @@ def named_input_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("*", F.lit(rows).cast("long").alias("input_rows"))
 
 
+def counted_while_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stored and counted in one job, then counted by group from the stored files."""
+    stored, rows = normalize_and_count(events(spark, sf_dir), scratch_path(spark, "counted-events"))
+    counted = stored.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.select("*", F.lit(rows).cast("long").alias("input_rows"))
+
+
+def exact_bucketed(grain: str) -> Query:
+    """Exact counts of orders from a layout in buckets by key."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch_path(spark, f"bucketed-orders-{grain}")
+        return exact(bucketed_layout(order_lines(spark, sf_dir), path, 8), grain_query(grain))
+
+    return run
+
+
 def synthetic_rows(workload: str, distinct: int, groups: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
@@ -301,23 +332,60 @@ def hll_direct_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def theta_customers_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "orders")
-        .groupBy("o_orderpriority")
-        .agg(theta_distinct("o_custkey", EXACT_LGK).alias("customers"))
-    )
+    customers = distinct_estimate("o_custkey", "theta", EXACT_LGK)
+    orders = table(spark, sf_dir, "orders")
+    return measures_by(orders, ["o_orderpriority"], {"customers": customers})
+
+
+def line_measures(group_cols: tuple[str, ...]) -> Query:
+    """Distinct estimates next to plain measures, all in one plan of two levels."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = table(spark, sf_dir, "lineitem")
+        found = measures_by(
+            lines,
+            group_cols,
+            {
+                "parts": distinct_estimate("l_partkey", "theta", EXACT_LGK),
+                "suppliers": distinct_estimate("l_suppkey", "theta", EXACT_LGK),
+                "supplier_estimate": distinct_estimate("l_suppkey", "hll"),
+                "n_lines": row_count(),
+                "n_discounted": row_count(F.col("l_discount") > 0),
+                "n_flags": value_count(F.nullif("l_returnflag", F.lit("N"))),
+                "pieces": total(F.col("l_quantity").cast("long")),
+                "first_day": lowest(F.to_date("l_shipdate")),
+                "last_day": highest(F.to_date("l_shipdate")),
+                "mean_line": mean(F.col("l_linenumber").cast("long")),
+            },
+        )
+        close = F.abs(F.col("supplier_estimate") / F.col("suppliers") - 1) <= SKETCH_BOUND
+        return found.withColumn("supplier_estimate", close).withColumn(
+            "mean_line", F.round("mean_line", 8)
+        )
+
+    return run
 
 
 def hll_ship_days_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates enter a sketch by their text."""
     lines = table(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate"))
     truth = exact(lines, DistinctQuery("days_by_flag", ("l_returnflag",), "day"))
-    answer = (
-        lines.groupBy("l_returnflag").agg(hll_distinct("day").alias("distinct_count"))
-    )
+    days = {"distinct_count": distinct_estimate("day", "hll")}
+    answer = measures_by(lines, ["l_returnflag"], days)
     return bounded(truth, answer, ("l_returnflag",), SKETCH_BOUND)
 
 
+def hll_column_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bare column helpers, as one aggregate expression each."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(
+        theta_distinct("l_suppkey", EXACT_LGK).alias("suppliers"),
+        (
+            F.abs(hll_distinct("l_suppkey") / theta_distinct("l_suppkey", EXACT_LGK) - 1)
+            <= SKETCH_BOUND
+        ).alias("within_bound"),
+    )
+
+
 def theta_suppliers_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Very many small groups: no order is spread over many splits, so one merge level will do."""
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "group_id")
@@ -402,6 +470,62 @@ def union_pairs_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def days_of_events(spark: SparkSession, sf_dir: str) -> list:
+    """The first day of the events and the two weeks after it."""
+    first = events(spark, sf_dir).agg(F.min("date_bucket")).first()[0]
+    return [first + timedelta(days=n) for n in range(14)]
+
+
+def rollup_theta_day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By group, over one week: only the folders of its days are read."""
+    path = scratch_path(spark, "sketches-by-day")
+    by_day = {"partition_cols": ["date_bucket"], "kind": "theta", "lgk": EXACT_LGK}
+    stored = store_sketch_table(events(spark, sf_dir), path, **by_day)
+    days = days_of_events(spark, sf_dir)
+    week = stored.where(F.col("date_bucket").between(days[1], days[7]))
+    return rollup(week, ["group_id"], THETA, EXACT_LGK)
+
+
+def sketch_table_rebuilt_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that lacks half the users of two days, and all of a third, with these days rebuilt."""
+    path = scratch_path(spark, "sketches-rebuilt")
+    df, days = events(spark, sf_dir), days_of_events(spark, sf_dir)
+    damaged = F.col("date_bucket").isin(days[2:4]) & (F.col("distinct_key").cast("int") % 2 == 0)
+    incomplete = df.where(~damaged & (F.col("date_bucket") != days[5]))
+    store_sketch_table(incomplete, path, lgk=EXACT_LGK, partition_cols=["date_bucket"])
+    rebuilt = rebuild_partitions(df, path, [*days[2:4], days[5]], lgk=EXACT_LGK)
+    return rollup(rebuilt, ["date_bucket"], THETA, EXACT_LGK)
+
+
+def rollup_hll_mixed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of three sizes, by day, rolled up together by group at a size between them."""
+    df, query = events(spark, sf_dir), grain_query("by_group")
+    place = F.pmod(F.dayofmonth("date_bucket"), F.lit(3))
+    parts = [
+        build_sketch_table(df.where(place == n), kind=HLL, lgk=lgk)
+        for n, lgk in enumerate((10, 12, 14))
+    ]
+    answer = rollup(parts[0].union(parts[1]).union(parts[2]), query.group_cols, HLL, 13)
+    return bounded(exact(df, query), answer, query.group_cols, HLLPP_BOUND)
+
+
+def sketch_sizes_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean length of the sketches of the orders of each part, which follows from their numbers."""
+    lines = table(spark, sf_dir, "lineitem")
+    built = build_sketch_table(lines, ["l_partkey"], "l_orderkey", HLL, slots=1)
+    return sketch_sizes(built).select(
+        "num_sketch_rows", F.round("average_sketch_size_bytes", 6).alias("average_size")
+    )
+
+
+def stored_text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of a table written as lines of text, which is known to the byte."""
+    path = scratch_path(spark, "order-lines")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string"))
+    orders.write.text(path)
+    return stored_bytes(spark, path)
+
+
 def sketch_table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stored_sketches(spark, sf_dir, "theta", EXACT_LGK)
     raw = f"{sf_dir}/events.parquet"
@@ -745,12 +869,14 @@ QUERIES: dict[str, Query] = {
     "trip_dataset": trip_dataset,
     "stored_events": stored_events,
     "named_input_rows": named_input_rows,
+    "counted_while_stored": counted_while_stored,
     "synth_uniform": synthetic_rows("uniform", 10_000, 100),
     "synth_high_cardinality": synthetic_rows("high_cardinality", 1_000_000, 100),
     "synth_many_groups": synthetic_rows("many-groups", 10_000, 1000),
     "synth_skewed": synthetic_rows("skewed", 10_000, 100),
     **{f"exact_{grain}": exact_grain(grain) for grain in GRAINS},
     "exact_routes_by_pickup": exact_routes_by_pickup,
+    **{f"exact_bucketed_{grain}": exact_bucketed(grain) for grain in ("global", "by_group")},
     "exact_sql_by_day": exact_sql_by_day,
     **{f"hllpp_{grain}": hllpp_grain(grain) for grain in GRAINS},
     "hllpp_sql_by_group": hllpp_sql_by_group,
@@ -761,6 +887,9 @@ QUERIES: dict[str, Query] = {
     "theta_direct_by_day": theta_direct_by_day,
     "theta_customers_by_priority": theta_customers_by_priority,
     "theta_suppliers_by_order": theta_suppliers_by_order,
+    "line_measures_by_flag": line_measures(("l_returnflag", "l_linestatus")),
+    "line_measures": line_measures(()),
+    "columns_by_status": hll_column_by_status,
     **{f"hll_{grain}": hll_grain(grain) for grain in GRAINS},
     "hll_two_level_by_group": hll_grain("by_group", slots=16),
     "hll12_by_flag": sketch_by_flag("hll"),
@@ -791,6 +920,11 @@ QUERIES: dict[str, Query] = {
     **{f"rollup_hll_{grain}": rollup_hll(grain) for grain in GRAINS},
     "rollup_theta_two_level_by_day": rollup_theta("by_day", slots=16),
     "rollup_hll_lower_lgk_by_day": rollup_hll("by_day", lgk=10),
+    "rollup_hll_mixed_sizes": rollup_hll_mixed_sizes,
+    "rollup_theta_day_range": rollup_theta_day_range,
+    "sketch_table_rebuilt_days": sketch_table_rebuilt_days,
+    "sketch_sizes_small_groups": sketch_sizes_small_groups,
+    "stored_text_bytes": stored_text_bytes,
     "union_pairs_theta": union_pairs_theta,
     "union_pairs_hll": union_pairs_hll,
     "error_rows": error_rows_by_group,

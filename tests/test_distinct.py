@@ -1,8 +1,10 @@
+from pathlib import Path
+
 import pytest
+from catalogue import queries
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from plan_text import plan_of
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from uniqtally.functions import (
@@ -20,17 +22,30 @@ from uniqtally.operators import (
     approx,
     build_sketch_table,
     direct_sketch,
+    distinct_estimate,
     estimates,
     exact,
     hash_groups_within,
+    highest,
+    lowest,
     many_groups,
+    mean,
+    measures_by,
+    merge_by,
     merge_slots,
+    read_sketch_table,
+    rebuild_partitions,
     rollup,
+    row_count,
     sketch,
     sketch_sizes,
+    store_sketch_table,
+    total,
+    value_count,
 )
 from uniqtally.operators.merging import FALLBACK_THRESHOLD
-from uniqtally.sources import synthetic
+from uniqtally.sources import scratch_path, store_table, synthetic
+from uniqtally.sources.storage import is_any_of
 
 GLOBAL, BY_GROUP, BY_DAY, BY_BOTH = ALL_QUERIES
 KEYS = "distinct_key string, group_id string"
@@ -259,13 +274,122 @@ def test_sketch_size_limits(kind, bad):
         kind.check_lgk(bad)
 
 
-def test_hll_sizes_do_not_mix_by_accident(spark):
-    df = synthetic(spark, rows=100)
-    mixed = build_sketch_table(df, kind="hll", lgk=10).union(
-        build_sketch_table(df, kind="hll", lgk=12)
+@pytest.mark.parametrize("slots", [1, 4])
+@pytest.mark.parametrize("lgk", [8, 10, 12])
+def test_hll_sizes_may_be_mixed(spark, lgk, slots):
+    df = synthetic(spark, rows=30_000, distinct=20_000, groups=3)
+    sizes = [build_sketch_table(df, kind="hll", lgk=k) for k in (9, 12)]
+    truth = answers(exact(df, BY_GROUP))
+    for mixed in (sizes[0].union(sizes[1]), sizes[1].union(sizes[0])):
+        rolled = answers(rollup(mixed, ["group_id"], "hll", lgk, slots))
+        assert all(rolled[g] == pytest.approx(n, rel=0.2) for g, n in truth.items())
+        # No union is larger than the smallest of its parts, or than asked for.
+        lengths = merge_by(mixed, ["group_id"], HLL, lgk, slots).agg(F.max(F.length("sketch_bytes")))
+        assert lengths.first()[0] <= (1 << min(lgk, 9)) + 64
+    same = rollup(sizes[1], ["group_id"], "hll", 12, slots)
+    assert answers(same) == answers(rollup(sizes[1], ["group_id"], "hll", 14, slots))
+
+
+def test_hll_rollup_takes_stored_rows_as_they_are(spark):
+    table = build_sketch_table(synthetic(spark, rows=100), kind="hll")
+    stored = store_table(table, scratch_path(spark, "test-hll"))
+    plan = plan_of(rollup(stored, ["group_id"], HLL, 10, slots=4))
+    tree = plan.split("\n\n")[0]
+    assert "Subquery" not in plan and tree.count("Exchange") == 2
+    # Nodes are described from the scan upwards: no scalar union comes before the first aggregate.
+    details = plan.split("\n\n", 1)[1]
+    assert "hll_union(" not in details[: details.index("partial_hll_union_agg")]
+    assert details.count("hll_union(") == 1
+
+
+# --- measures --------------------------------------------------------------------------------
+
+
+def test_measures_by_hand(spark):
+    rows = [("a", 1, 2.0), ("a", 1, None), ("a", None, 4.0), (None, 3, 1.0), ("b", None, None)]
+    df = spark.createDataFrame(rows * 40, "g string, k int, x double").repartition(7)
+    chosen = {
+        "n": row_count(),
+        "big": row_count(F.col("x") > 1.5),
+        "known": value_count("x"),
+        "k": distinct_estimate("k"),
+        "k_hll": distinct_estimate("k", HLL),
+        "sum": total("x"),
+        "low": lowest("x"),
+        "high": highest("x"),
+        "mean": mean("x"),
+    }
+    expected = {
+        "a": (120, 80, 80, 1.0, 1.0, 240.0, 2.0, 4.0, 3.0),
+        None: (40, 0, 40, 1.0, 1.0, 40.0, 1.0, 1.0, 1.0),
+        "b": (40, 0, 0, 0.0, 0.0, None, None, None, None),
+    }
+    for slots in (1, 3, None):
+        got = measures_by(df, ["g"], chosen, slots).collect()
+        assert {row[0]: tuple(row[1:]) for row in got} == expected
+        whole = measures_by(df, [], chosen, slots).first()
+        assert tuple(whole) == (200, 80, 120, 2.0, 2.0, 280.0, 1.0, 4.0, pytest.approx(280 / 120))
+    nothing = df.where("g = 'c'")
+    assert measures_by(nothing, ["g"], chosen).count() == 0
+    assert tuple(measures_by(nothing, [], chosen).first()) == (0, 0, 0, 0.0, 0.0, *[None] * 4)
+    with pytest.raises(ValueError, match="named like group columns"):
+        measures_by(df, ["g"], {"G": row_count()})
+
+
+def test_measures_spread_a_hot_group(spark):
+    df = synthetic(spark, rows=1000)
+    plan = plan_of(
+        measures_by(df, ["group_id"], {"a": distinct_estimate("distinct_key"), "n": row_count()})
     )
-    with pytest.raises(PySparkException):
-        rollup(mixed, [], "hll").collect()
+    tree = plan.split("\n\n")[0]
+    assert tree.count("Exchange") == 2
+    keys = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning" in line]
+    # By group and slot first, then by group.
+    assert sorted(key.count("#") for key in keys) == [1, 2] and "SPARK_PARTITION_ID" in plan
+    for name in ("theta_customers_by_priority", "hll_ship_days_by_flag"):
+        shown = plan_of(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "SPARK_PARTITION_ID" in shown
+
+
+# --- partitioned sketch tables ---------------------------------------------------------------
+
+
+def files_by_day(path):
+    return {
+        (file.parent.name, file.name): file.stat().st_mtime_ns
+        for file in Path(path).rglob("*.parquet")
+    }
+
+
+def test_days_are_rebuilt_alone(spark, tmp_path):
+    df = synthetic(spark, rows=4000, distinct=500, groups=4, days=5)
+    days = [row[0] for row in df.select("date_bucket").distinct().orderBy("date_bucket").collect()]
+    nulls = df.limit(50).withColumn("date_bucket", F.lit(None).cast("date"))
+    df = df.union(nulls)
+    path = str(tmp_path / "table")
+    stored = store_sketch_table(df, path, kind="theta", partition_cols=["date_bucket"])
+    truth = answers(exact(df, BY_BOTH))
+    assert answers(estimates(stored, ["date_bucket", "group_id"], "theta")) == truth
+    before = files_by_day(path)
+    assert len({day for day, _ in before}) == 6
+    less = df.where((F.col("date_bucket") != days[1]) | F.col("date_bucket").isNull())
+    less = less.where("group_id <> 'group_0' OR date_bucket IS NULL")
+    rebuilt = rebuild_partitions(less, path, [days[0], days[1], None])
+    after = files_by_day(path)
+    touched = {f"date_bucket={days[0]}", f"date_bucket={days[1]}", "date_bucket=__HIVE_DEFAULT_PARTITION__"}
+    assert {k: v for k, v in before.items() if k[0] not in touched} == {
+        k: v for k, v in after.items() if k[0] not in touched
+    }
+    # The second day has no rows any more, so no files; the first and the nulls have new ones.
+    assert not before.keys() & {k for k in after if k[0] in touched}
+    assert f"date_bucket={days[1]}" not in {day for day, _ in after}
+    changed = answers(exact(less.where(is_any_of("date_bucket", [days[0], None])), BY_BOTH))
+    kept = {k: v for k, v in truth.items() if k[0] in days[2:]}
+    found = read_sketch_table(spark, path)
+    for table in (rebuilt, found):
+        assert answers(estimates(table, ["date_bucket", "group_id"], "theta")) == changed | kept
+    plan = plan_of(rollup(found.where(F.col("date_bucket") >= days[3]), ["group_id"], "theta"))
+    assert "PartitionFilters: [isnotnull(date_bucket" in plan
 
 
 def test_sketch_kind_names():

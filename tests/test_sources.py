@@ -4,17 +4,21 @@ import pytest
 from plan_text import plan_of
 from pyspark.sql import functions as F
 
+from uniqtally.operators import ALL_QUERIES, exact
 from uniqtally.sources import (
+    bucketed_layout,
     canonical_source,
     canonicalize,
     cap_rows,
     load_trips,
     matrix_parameters,
+    normalize_and_count,
     normalize_layout,
     register_input,
     scratch_root,
     stored_bytes,
     synthetic,
+    table_name,
     trips,
 )
 from uniqtally.sources.row_cap import FILE, ROW
@@ -229,6 +233,35 @@ def test_stored_and_named_input(spark, tmp_path):
     assert normalize_layout(df.limit(10), path).count() == 10
 
 
+def test_rows_are_counted_while_stored(spark, tmp_path):
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "")
+    table, rows = normalize_and_count(synthetic(spark, rows=5000), str(tmp_path / "input"))
+    named, same = register_input(table, view="counted_input", rows=rows)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (rows, same, named.count()) == (5000, 5000, 5000)
+    assert len(jobs.getJobIdsForGroup("counted")) == 1
+    empty = normalize_and_count(table.where("group_id = 'no'"), str(tmp_path / "nothing"))
+    assert empty[1] == 0
+
+
+def test_exact_counts_of_buckets_move_no_rows(spark, tmp_path):
+    df = synthetic(spark, rows=20_000, distinct=3000, groups=7, days=3)
+    hot = df.limit(5000).withColumn("distinct_key", F.lit("hot"))
+    odd = df.limit(3).withColumn("distinct_key", F.lit(None).cast("string"))
+    df = df.union(hot).union(odd)
+    table = bucketed_layout(df, str(tmp_path / "in-buckets"), 5)
+    for query in ALL_QUERIES:
+        # Below the one exchange of counts each task has removed duplicates already.
+        tree = plan_of(exact(table, query)).split("\n\n")[0]
+        counted = exact(table, query).collect()
+        assert sorted(map(str, counted)) == sorted(map(str, exact(df, query).collect()))
+        assert tree.count("Exchange") == 1
+        assert tree[tree.rindex("Exchange") :].count("HashAggregate") == 3
+    assert table.where("distinct_key = 'hot'").count() <= 21
+    spark.sql(f"DROP TABLE {table_name(str(tmp_path / 'in-buckets'))}")
+
+
 def test_stored_bytes(spark, tmp_path):
     path = tmp_path / "deep"
     synthetic(spark, rows=500).withColumn("part", F.col("id") % 2).write.partitionBy("part").parquet(

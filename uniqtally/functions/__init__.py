@@ -14,6 +14,7 @@ from uniqtally.functions.sketches import (
     SketchKind,
     empty_sketch,
     hll_distinct,
+    no_keys,
     shrink_hll,
     sketch_key,
     sketch_kind,
@@ -29,6 +30,7 @@ __all__ = [
     "break_even_queries",
     "empty_sketch",
     "hll_distinct",
+    "no_keys",
     "relative_error",
     "report_double",
     "shrink_hll",

@@ -49,7 +49,10 @@ class SketchKind:
         raise NotImplementedError
 
     def merge(self, sketch: Column | str, lgk: int = DEFAULT_LGK) -> Column:
-        """Aggregate: union of serialized sketches."""
+        """Aggregate: union of serialized sketches, whose sizes may be mixed.
+
+        A Theta union has size ``lgk`` at most; an HLL union has the smallest size among them.
+        """
         raise NotImplementedError
 
     def merge_pair(self, left: Column | str, right: Column | str, lgk: int = DEFAULT_LGK) -> Column:
@@ -104,11 +107,11 @@ class _Hll(SketchKind):
 
     def merge(self, sketch, lgk=DEFAULT_LGK):
         self.check_lgk(lgk)
-        return F.hll_union_agg(_column(sketch))
+        return F.hll_union_agg(_column(sketch), True)
 
     def merge_pair(self, left, right, lgk=DEFAULT_LGK):
         self.check_lgk(lgk)
-        return F.hll_union(_column(left), _column(right))
+        return F.hll_union(_column(left), _column(right), True)
 
     def estimate(self, sketch):
         return F.hll_sketch_estimate(_column(sketch)).cast("double")
@@ -153,11 +156,14 @@ def hll_distinct(value: Column | str, lgk: int = DEFAULT_LGK) -> Column:
 
 def empty_sketch(kind: SketchKind | str, lgk: int = DEFAULT_LGK) -> Column:
     """Scalar: the sketch of nothing, which leaves any sketch it is merged with as it is."""
-    spark = SparkSession.active()
-    nothing = F.lit(None).cast("string")
-    return spark.range(1).agg(sketch_kind(kind).build(nothing, lgk)).scalar()
+    return SparkSession.active().range(1).agg(no_keys(kind, lgk)).scalar()
+
+
+def no_keys(kind: SketchKind | str, lgk: int = DEFAULT_LGK) -> Column:
+    """Aggregate: the sketch of nothing, whatever the rows."""
+    return sketch_kind(kind).build(F.lit(None).cast("string"), lgk)
 
 
-def shrink_hll(sketch: Column | str, lgk: int) -> Column:
-    """Scalar: a stored HLL sketch lowered to ``lgk`` (a smaller one keeps its own size)."""
-    return F.hll_union(_column(sketch), empty_sketch(HLL, lgk), True)
+def shrink_hll(sketch: Column | str, empty: Column | str) -> Column:
+    """Scalar: an HLL sketch lowered to the size of ``empty`` (a smaller one keeps its own size)."""
+    return F.hll_union(_column(sketch), _column(empty), True)

@@ -8,6 +8,17 @@ from uniqtally.operators.distinct import (
     exact,
     sketch,
 )
+from uniqtally.operators.measures import (
+    Measure,
+    distinct_estimate,
+    highest,
+    lowest,
+    mean,
+    measures_by,
+    row_count,
+    total,
+    value_count,
+)
 from uniqtally.operators.merging import (
     estimates,
     hash_groups_within,
@@ -27,6 +38,7 @@ from uniqtally.operators.sketch_table import (
     MATERIALIZED_GRAIN,
     build_sketch_table,
     read_sketch_table,
+    rebuild_partitions,
     rollup,
     sketch_sizes,
     store_sketch_table,
@@ -39,19 +51,27 @@ __all__ = [
     "DEFAULT_RELATIVE_SD",
     "MATERIALIZED_GRAIN",
     "DistinctQuery",
+    "Measure",
     "approx",
     "build_sketch_table",
     "direct_sketch",
+    "distinct_estimate",
     "error_rows",
     "estimates",
     "evaluate",
     "exact",
     "hash_groups_within",
+    "highest",
+    "lowest",
     "many_groups",
+    "mean",
+    "measures_by",
     "merge_by",
     "merge_slots",
     "read_sketch_table",
+    "rebuild_partitions",
     "rollup",
+    "row_count",
     "runtime_stats",
     "sketch",
     "sketch_by",
@@ -61,7 +81,9 @@ __all__ = [
     "summarize_exact",
     "table_stats",
     "time_trials",
+    "total",
     "trial_rows",
     "trials_frame",
+    "value_count",
     "write_sketch_table",
 ]

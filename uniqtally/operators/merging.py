@@ -19,11 +19,19 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uniqtally.functions.sketches import DEFAULT_LGK, HLL, SketchKind, shrink_hll, sketch_kind
+from uniqtally.functions.sketches import (
+    DEFAULT_LGK,
+    HLL,
+    SketchKind,
+    no_keys,
+    shrink_hll,
+    sketch_kind,
+)
 
 SKETCH_BYTES = "sketch_bytes"
 DISTINCT_COUNT = "distinct_count"
 SLOT = "_merge_slot"
+EMPTY_BYTES = "_empty_bytes"
 
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 FALLBACK_THRESHOLD = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -70,17 +78,20 @@ def merge_by(
 ) -> DataFrame:
     """Union of the stored sketches per group, of size ``lgk`` at most.
 
-    A Theta union is trimmed to ``lgk``. HLL sketches are lowered to it first; smaller ones stay as
-    they are, and stored sizes may be mixed.
+    Stored sizes may be mixed. A Theta union is trimmed to ``lgk``. An HLL union takes the smallest
+    size among its sketches, and if that is larger than ``lgk``, the one union per group is lowered;
+    the stored rows themselves go into the aggregate as they are.
     """
     kind = sketch_kind(kind)
     slots = merge_slots(table.sparkSession) if slots is None else slots
-    if kind is HLL:
-        table = table.withColumn(SKETCH_BYTES, shrink_hll(SKETCH_BYTES, lgk))
     merged = kind.merge(SKETCH_BYTES, lgk).alias(SKETCH_BYTES)
     if slots > 1:
         table = table.groupBy(*group_cols, merge_slot(slots)).agg(merged)
-    return table.groupBy(*group_cols).agg(merged)
+    if kind is not HLL:
+        return table.groupBy(*group_cols).agg(merged)
+    # The empty sketch of the wanted size is an aggregate of the same plan, not a job of its own.
+    both = table.groupBy(*group_cols).agg(merged, no_keys(HLL, lgk).alias(EMPTY_BYTES))
+    return both.select(*group_cols, shrink_hll(SKETCH_BYTES, EMPTY_BYTES).alias(SKETCH_BYTES))
 
 
 def estimates(sketches: DataFrame, group_cols: Sequence[str], kind: SketchKind | str) -> DataFrame:

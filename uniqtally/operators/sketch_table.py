@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import AbstractContextManager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from uniqtally.functions.metrics import size_ratio
 from uniqtally.functions.sketches import DEFAULT_LGK, SketchKind
@@ -16,7 +18,12 @@ from uniqtally.operators.merging import (
     merge_by,
     sketch_by,
 )
-from uniqtally.sources.storage import store_table, stored_bytes
+from uniqtally.sources.storage import (
+    is_any_of,
+    replace_partitions,
+    store_table,
+    stored_bytes,
+)
 
 # Fixed value: the finest grain that the four queries need.
 MATERIALIZED_GRAIN: tuple[str, ...] = ("date_bucket", "group_id")
@@ -36,9 +43,11 @@ def build_sketch_table(
     return sketch_by(df, group_cols, distinct_col, kind, lgk, slots)
 
 
-def write_sketch_table(table: DataFrame, path: str) -> DataFrame:
-    """Store a sketch table as Parquet and return a scan of it."""
-    return store_table(table, path)
+def write_sketch_table(
+    table: DataFrame, path: str, partition_cols: Sequence[str] = ()
+) -> DataFrame:
+    """Store a sketch table as Parquet, in a folder per value of ``partition_cols``; scan it."""
+    return store_table(table, path, partition_cols)
 
 
 def store_sketch_table(
@@ -49,20 +58,58 @@ def store_sketch_table(
     kind: SketchKind | str = "theta",
     lgk: int = DEFAULT_LGK,
     task_bytes: int | None = None,
+    slots: int | None = None,
+    partition_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Build a sketch table and store it.
 
     With ``task_bytes``, a task may spend so much on the sketches it builds (see ``many_groups``).
+    ``slots=1`` saves the second shuffle where no group is found in many splits. With
+    ``partition_cols`` the files lie in a folder per value, so that queries over some values read only
+    those, and ``rebuild_partitions`` can replace them alone.
     """
-    table = build_sketch_table(df, group_cols, distinct_col, kind, lgk)
-    if task_bytes is None:
-        return write_sketch_table(table, path)
-    with many_groups(df.sparkSession, kind, lgk, task_bytes):
-        return write_sketch_table(table, path)
+    table = build_sketch_table(df, group_cols, distinct_col, kind, lgk, slots)
+    with _room(df.sparkSession, kind, lgk, task_bytes):
+        return write_sketch_table(table, path, partition_cols)
+
+
+def _room(
+    spark: SparkSession, kind: SketchKind | str, lgk: int, task_bytes: int | None
+) -> AbstractContextManager:
+    return nullcontext() if task_bytes is None else many_groups(spark, kind, lgk, task_bytes)
 
 
-def read_sketch_table(spark: SparkSession, path: str, cache: bool = False) -> DataFrame:
-    table = spark.read.parquet(path)
+def rebuild_partitions(
+    df: DataFrame,
+    path: str,
+    values: Sequence,
+    partition_col: str = "date_bucket",
+    group_cols: Sequence[str] = MATERIALIZED_GRAIN,
+    distinct_col: str = "distinct_key",
+    kind: SketchKind | str = "theta",
+    lgk: int = DEFAULT_LGK,
+    slots: int | None = None,
+    task_bytes: int | None = None,
+) -> DataFrame:
+    """Build the sketches of some partitions (None names the one of nulls) anew from ``df``.
+
+    The table in ``path`` must be partitioned by ``partition_col`` alone. Files of other partitions
+    are neither read nor written. A named partition without rows in ``df`` is removed.
+    """
+    spark = df.sparkSession
+    chosen = df.where(is_any_of(partition_col, values))
+    table = build_sketch_table(chosen, group_cols, distinct_col, kind, lgk, slots)
+    with _room(spark, kind, lgk, task_bytes):
+        replace_partitions(table, path, partition_col, values)
+    return read_sketch_table(spark, path, schema=table.schema)
+
+
+def read_sketch_table(
+    spark: SparkSession, path: str, cache: bool = False, schema: T.StructType | None = None
+) -> DataFrame:
+    """A stored table, partitioned or not. ``schema`` saves looking at files and partition names."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    table = reader.parquet(path)
     return table.cache() if cache else table
 
 

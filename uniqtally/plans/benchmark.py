@@ -14,7 +14,7 @@ from uniqtally.plans.report import (
     write_materialization_results,
     write_method_results,
 )
-from uniqtally.sources.canonical import canonical_source, normalize_layout, register_input
+from uniqtally.sources.canonical import canonical_source, normalize_and_count, register_input
 
 
 def run_benchmark(
@@ -31,13 +31,20 @@ def run_benchmark(
     cache_input: bool = False,
     cache_sketch_table: bool = False,
     include_direct: bool = True,
+    task_bytes: int | None = None,
+    slots: int | None = None,
     **workload,
 ) -> tuple[DataFrame, DataFrame]:
-    """Write input, sketch tables and both result files below ``run_dir``; return the results."""
+    """Write input, sketch tables and both result files below ``run_dir``; return the results.
+
+    ``task_bytes`` and ``slots`` go to the methods that merge sketches (see ``compare``).
+    """
     raw_path = f"{run_dir}/data/{dataset.lower()}.parquet"
     source = canonical_source(spark, dataset, input_path, max_rows, **workload)
-    table, input_rows = register_input(normalize_layout(source, raw_path), cache_input)
+    stored, rows = normalize_and_count(source, raw_path)
+    table, input_rows = register_input(stored, cache_input, rows=rows)
     sizes = {"theta_lgk": theta_lgk, "hll_lgk": hll_lgk, "warmups": warmups, "trials": trials}
+    sizes |= {"task_bytes": task_bytes, "slots": slots}
     try:
         comparison = compare(
             table,

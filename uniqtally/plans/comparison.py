@@ -88,8 +88,10 @@ def comparison_methods(
     theta_lgk: int = DEFAULT_LGK,
     hll_lgk: int = DEFAULT_LGK,
     include_direct: bool = True,
+    slots: int | None = None,
 ) -> list[Method]:
     """The exact method first, then the approximate ones; direct aggregates can be left out."""
+    sql_slots = {} if slots is None else {"slots": slots}
     methods = [
         Method(
             labels.EXACT,
@@ -105,13 +107,13 @@ def comparison_methods(
         ),
         Method(
             labels.THETA_PARTITIONED,
-            lambda df, query: sketch(df, query, THETA, theta_lgk),
+            lambda df, query: sketch(df, query, THETA, theta_lgk, slots),
             labels.THETA_PARTITIONED_NOTE.format(lgk=theta_lgk),
             sketch=(THETA, theta_lgk),
         ),
         Method(
             labels.HLL_PARTITIONED,
-            lambda df, query: sketch(df, query, HLL, hll_lgk),
+            lambda df, query: sketch(df, query, HLL, hll_lgk, slots),
             labels.HLL_PARTITIONED_NOTE.format(lgk=hll_lgk),
             sketch=(HLL, hll_lgk),
         ),
@@ -120,13 +122,17 @@ def comparison_methods(
         methods += [
             Method(
                 labels.THETA_DIRECT,
-                lambda df, query: spark.sql(query.sketch_sql(view, THETA, theta_lgk)),
+                lambda df, query: spark.sql(
+                    query.sketch_sql(view, THETA, theta_lgk, **sql_slots)
+                ),
                 labels.THETA_DIRECT_NOTE.format(lgk=theta_lgk),
                 sketch=(THETA, theta_lgk),
             ),
             Method(
                 labels.HLL_DIRECT,
-                lambda df, query: spark.sql(query.sketch_sql(view, HLL, hll_lgk)),
+                lambda df, query: spark.sql(
+                    query.sketch_sql(view, HLL, hll_lgk, **sql_slots)
+                ),
                 labels.HLL_DIRECT_NOTE.format(lgk=hll_lgk),
                 sketch=(HLL, hll_lgk),
             ),
@@ -195,18 +201,22 @@ def compare(
     store: str | None = None,
     task_bytes: int | None = None,
     input_rows: int | None = None,
+    slots: int | None = None,
 ) -> Comparison:
     """Run all methods on all queries over a canonical table.
 
     ``input_rows`` saves counting them again.
-    ``task_bytes`` is what one task may spend on sketches under construction.
+    ``task_bytes`` is what one task may spend on sketches under construction, ``slots`` the number of
+    slices in which sketches are merged first.
     """
     spark = df.sparkSession
     store = store or scratch_path(spark, "counts")
     df.createOrReplaceTempView(view)
     input_rows = df.count() if input_rows is None else input_rows
 
-    methods = comparison_methods(spark, view, relative_sd, theta_lgk, hll_lgk, include_direct)
+    methods = comparison_methods(
+        spark, view, relative_sd, theta_lgk, hll_lgk, include_direct, slots
+    )
     counts: dict[tuple[str, str], DataFrame] = {}
     timed: list[tuple] = []
     rows: list[tuple] = []
@@ -291,10 +301,12 @@ def compare_materialized(
     cache_sketch_table: bool = False,
     store: str | None = None,
     task_bytes: int | None = None,
+    slots: int | None = None,
 ) -> DataFrame:
     """Build a sketch table of each kind and answer all queries from it.
 
-    The exact times are those that ``compare`` measured; they are not taken again. ``raw_path`` is
+    ``slots=1`` builds and merges in one level, for a grain none of whose groups is found in many
+    splits. The exact times are those that ``compare`` measured; they are not taken again. ``raw_path`` is
     where ``df`` is stored, for its size.
     """
     spark = df.sparkSession
@@ -307,7 +319,7 @@ def compare_materialized(
         path = f"{store}/{kind.name}"
 
         def build() -> DataFrame:
-            return build_sketch_table(df, grain, kind=kind, lgk=lgk)
+            return build_sketch_table(df, grain, kind=kind, lgk=lgk, slots=slots)
 
         with _room_for(df, (kind, lgk), task_bytes):
             stored, samples = _measure(build, path, warmups, trials)
@@ -319,7 +331,7 @@ def compare_materialized(
         for query in queries:
             with _room_for(table, (kind, lgk), task_bytes):
                 answers[query.name][kind.name], samples = _measure(
-                    lambda: rollup(table, query.group_cols, kind, lgk),
+                    lambda: rollup(table, query.group_cols, kind, lgk, slots),
                     f"{store}_counts/{kind.name}/{query.name}",
                     warmups,
                     trials,

@@ -3,10 +3,13 @@ from uniqtally.sources.canonical import (
     DISTINCT_KEY,
     GROUP_ID,
     INPUT_VIEW,
+    bucketed_layout,
     canonical_source,
     canonicalize,
+    normalize_and_count,
     normalize_layout,
     register_input,
+    table_name,
 )
 from uniqtally.sources.row_cap import cap_rows
 from uniqtally.sources.storage import scratch_path, scratch_root, store_table, stored_bytes
@@ -19,11 +22,13 @@ __all__ = [
     "GROUP_ID",
     "INPUT_VIEW",
     "WORKLOADS",
+    "bucketed_layout",
     "canonical_source",
     "canonicalize",
     "cap_rows",
     "load_trips",
     "matrix_parameters",
+    "normalize_and_count",
     "normalize_layout",
     "register_input",
     "scratch_path",
@@ -31,6 +36,7 @@ __all__ = [
     "store_table",
     "stored_bytes",
     "synthetic",
+    "table_name",
     "trips",
     "workload_rows",
 ]
