@@ -1,14 +1,16 @@
 """Personal data by anchor expansion.
 
 One pass of an Aho-Corasick automaton over each whole text finds anchors: at-signs, plus signs,
-digits, URL schemes and cues that name an identifier. From each anchor a small parser expands to
+digits, URL schemes, cues that name an identifier or a secret, and beginnings of known keys. From each anchor a small parser expands to
 both sides and checks the boundaries and the value. Text without an anchor is never looked at again.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from math import log2
 
 import ahocorasick
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Base kinds in their order of listing, then those that the method adds.
-KINDS = ("email", "ip", "card", "phone", "account", "iban", "url_login")
+KINDS = ("email", "ip", "card", "phone", "account", "iban", "url_login", "secret")
 BASE = KINDS[:4]
 
 DIGITS = frozenset("0123456789")
@@ -30,6 +32,18 @@ SPACES = frozenset(" \t\n\r\x0b\x0c")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 #: Words that name an identifier; it follows after a sign and at most a few spaces.
 CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "tax id", "customer id")
+#: Words that name a secret, in lower case; its value follows after a sign.
+SECRET_CUES = (
+    *("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "apikey"),
+    *("access_key", "access-key", "auth_key", "auth-key", "private_key", "private-key", "credential"),
+)
+#: Words before a secret that needs no sign, and beginnings of keys, as they are spelled.
+BEARER = "bearer "
+PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "eyJ")
+SECRET = ALPHANUMERIC | set("+/_.=-~")
+LEAST_SECRET, LEAST_KEY = 8, 16
+#: Least bits per character, by the shares of the characters of the value itself.
+LEAST_ENTROPY = 2.5
 _LOWER = {code: code + 32 for code in range(65, 91)}
 
 Span = tuple[int, int, str]
@@ -44,9 +58,12 @@ def automaton() -> ahocorasick.Automaton:
         ("digit", tuple(DIGITS)),
         ("scheme", SCHEMES),
         ("cue", CUES),
+        ("secret", SECRET_CUES),
+        ("bearer", (BEARER,)),
+        ("prefix", PREFIXES),
     ):
         for word in words:
-            found.add_word(word, (kind, len(word)))
+            found.add_word(word.lower(), (kind, len(word)))
     found.make_automaton()
     return found
 
@@ -143,8 +160,9 @@ def account(text: str, cue: int, at: int, out: list[Span]) -> int:
     """An identifier after the cue from ``cue`` to ``at``.
 
     The cue must be a word of its own. Then come, if at all, ``no``, ``number`` or ``id`` and one of
-    ``: # =``; at least one of these must be there. The identifier has letters, digits and hyphens,
-    6 to 34 in all, four or more of them digits.
+    ``: # =``; at least one of these must be there, with any number of spaces around. The identifier
+    has letters, digits and hyphens, 6 to 34 in all, four or more of them digits; an IBAN may be
+    printed in groups with single spaces between them.
     """
     if cue and text[cue - 1] in ALPHANUMERIC or at < len(text) and text[at] in LETTERS:
         return at
@@ -157,8 +175,12 @@ def account(text: str, cue: int, at: int, out: list[Span]) -> int:
                 break
     if place < len(text) and text[place] in ":#=":
         place, named = _run(text, place + 1, {" "}), True
-    if not named or place - at > 16:
+    if not named:
         return at
+    printed = grouped_iban(text, place)
+    if printed:
+        out.append((place, printed, "iban"))
+        return printed
     end = _run(text, place, ALPHANUMERIC)
     while end + 1 < len(text) and text[end] == "-" and text[end + 1] in ALPHANUMERIC:
         end = _run(text, end + 1, ALPHANUMERIC)
@@ -169,6 +191,68 @@ def account(text: str, cue: int, at: int, out: list[Span]) -> int:
     return at
 
 
+def grouped_iban(text: str, at: int) -> int:
+    """End of the longest IBAN that starts at ``at``, with or without single spaces; 0 if none does."""
+    value, end, found = "", at, 0
+    while True:
+        stop = _run(text, end, ALPHANUMERIC)
+        value += text[end:stop]
+        if stop == end or len(value) > 34:
+            return found
+        if iban(value):
+            found = stop
+        if not (stop < len(text) and text[stop] == " "):
+            return found
+        end = stop + 1
+
+
+def entropy(value: str) -> float:
+    """Bits per character."""
+    shares = [n / len(value) for n in Counter(value).values()]
+    return -sum(share * log2(share) for share in shares)
+
+
+def secret(text: str, at: int, out: list[Span], signed: bool, floor: int) -> int:
+    """The value behind the cue that ends at ``at``, but not before ``floor``.
+
+    ``signed``: a colon or an equals sign must come first; quotes and spaces may stand around it. The
+    value has letters, digits and ``+/_.=-~``, a digit among them, and looks random.
+    """
+    place = at
+    if signed:
+        if place < len(text) and text[place] in "'\"":
+            place += 1
+        place = _run(text, place, {" "})
+        if place >= len(text) or text[place] not in ":=":
+            return floor
+        place = _run(text, place + 1, {" "})
+        if place < len(text) and text[place] in "'\"":
+            place += 1
+    else:
+        place = _run(text, place, {" "})
+    if place < floor:
+        return floor
+    end = _run(text, place, SECRET)
+    return _random_value(text, place, end, LEAST_SECRET if signed else LEAST_KEY, out) or floor
+
+
+def known_key(text: str, at: int, prefix: int, out: list[Span], floor: int) -> int:
+    """The key whose known beginning lies from ``at`` to ``prefix``, as a word of its own."""
+    if at < floor or text[at:prefix] not in PREFIXES or at and text[at - 1] in ALPHANUMERIC:
+        return floor
+    return _random_value(text, at, _run(text, prefix, SECRET), LEAST_KEY, out) or floor
+
+
+def _random_value(text: str, start: int, end: int, least: int, out: list[Span]) -> int:
+    while end > start and text[end - 1] in ".-~":  # the end of a sentence
+        end -= 1
+    value = text[start:end]
+    if len(value) < least or DIGITS.isdisjoint(value) or entropy(value) < LEAST_ENTROPY:
+        return 0
+    out.append((start, end, "secret"))
+    return end
+
+
 def iban(value: str) -> bool:
     """Two letters, two check digits, and the remainder that the check digits make 1."""
     value = value.upper()
@@ -196,7 +280,7 @@ def find(text: str) -> list[Span]:
     """All spans by start, then by kind as listed; places are code points, ends exclusive."""
     out: list[Span] = []
     lowered = text.lower() if text.isascii() else text.translate(_LOWER)
-    after_email = after_ip = after_card = after_phone = 0
+    after_email = after_ip = after_card = after_phone = after_secret = 0
     for last, (kind, length) in automaton().iter(lowered):
         at = last + 1 - length
         if kind == "digit":
@@ -212,6 +296,10 @@ def find(text: str) -> list[Span]:
                 after_phone = phone(text, at, out)
         elif kind == "cue":
             account(text, at, last + 1, out)
+        elif kind == "prefix":
+            after_secret = known_key(text, at, last + 1, out, after_secret)
+        elif kind in ("secret", "bearer"):
+            after_secret = secret(text, last + 1, out, kind == "secret", after_secret)
         else:
             url_login(text, at, last + 1, out)
     return sorted(set(out), key=lambda span: (span[0], KINDS.index(span[2]), span[1]))
@@ -255,7 +343,8 @@ def span_text(spans: str, kinds: tuple[str, ...] = KINDS) -> str:
 def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
     """The rows of ``docs`` with each span replaced by ``mark``.
 
-    Spans that overlap are replaced together, by the mark of the first.
+    Spans that overlap are replaced together, by the mark of the first. A null text stays null, an
+    empty one empty; all other columns, and rows that repeat, stay as they are.
     """
     names = docs.columns
     place = names.index("text")
@@ -279,11 +368,14 @@ def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
 
 
 def personal_data_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, a count of each base kind, base_sha256 and spans of each row of ``docs``."""
+    """doc_id, a count of each kind, base_sha256 and spans of each row of ``docs``."""
     found = find_personal_data(docs)
     return found.select(
         "doc_id",
-        *(F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in BASE),
+        *(
+            F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}")
+            for k in KINDS
+        ),
         F.sha2(F.expr(span_text("spans", BASE)), 256).alias("base_sha256"),
         F.expr(span_text("spans")).alias("spans"),
     )
