@@ -25,13 +25,18 @@ CANDIDATE_BLOCK = 4096
 SCALE = 64
 #: Sums below this are exact in double arithmetic, whatever their order.
 EXACT_SUM = 2.0**52
+#: Scores are returned as 64-bit numbers; those beyond are ranked by their exact values and shown as
+#: the nearest end of that range.
+LARGEST = 2**63 - 1
+#: Query blocks whose histograms a task holds at a time.
+HELD_BLOCKS = 32
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and ``v``: floor(scale * x) of each component, x as double.
 
     Vectors that are null, hold a null or a component that is not finite, or whose vec_id is null,
-    take no part.
+    take no part. The components are whole numbers kept as doubles, which hold them exactly.
     """
     x = F.col("embedding").cast("array<double>")
     usable = F.col("embedding").isNotNull() & ~F.exists(
@@ -40,10 +45,15 @@ def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     )
     return (
         vectors.where(usable & F.col("vec_id").isNotNull())
-        .select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+        .select(F.col("vec_id").cast("long"), F.transform(x, lambda c: _floor(c * scale)).alias("v"))
     )
 
 
+def _floor(c: Column) -> Column:
+    """The whole number below, as a double; doubles from 2**52 on are whole numbers."""
+    return F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Vectors as rows; shorter ones are filled with zeros, which add nothing to a product."""
     lengths = np.diff(np.asarray(column.offsets))
@@ -56,12 +66,27 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products; with Python integers where doubles might round."""
-    bound = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, rows.shape[1])
-    if bound < EXACT_SUM:
+    """Integer inner products: 64-bit, or Python integers if some do not fit.
+
+    Rows so large that doubles might round are multiplied as Python integers.
+    """
+    bounds = np.abs(rows).max(axis=1, initial=0) * np.abs(queries).max(initial=0) * max(1, rows.shape[1])
+    large = np.flatnonzero(bounds >= EXACT_SUM)
+    if not len(large):
         return (queries @ rows.T).astype(np.int64)
-    exact = queries.astype(object) @ rows.T.astype(object)
-    return exact.astype(np.int64)
+    scores = np.zeros((len(queries), len(rows)), dtype=object)
+    small = np.flatnonzero(bounds < EXACT_SUM)
+    scores[:, small] = (queries @ rows[small].T).astype(np.int64)
+    whole = [np.array([[int(c) for c in v] for v in part], dtype=object) for part in (queries, rows[large])]
+    scores[:, large] = whole[0] @ whole[1].T
+    return scores.astype(np.int64) if bounds.max() < LARGEST / 2 else scores
+
+
+def _integers(column: pa.Array) -> np.ndarray:
+    """Whole numbers given as text: 64-bit, or Python integers if some do not fit."""
+    values = [int(text) for text in column.to_pylist()]
+    fits = all(abs(value) < LARGEST // 4 for value in values)
+    return np.array(values, dtype=np.int64 if fits else object)
 
 
 def _blocks(df: DataFrame, size: int, label: str) -> DataFrame:
@@ -83,6 +108,8 @@ def top_k(
     ``vectors`` has vec_id and embedding; other columns are ignored. ``is_query`` picks the queries;
     candidates are all rows but those with the query's own vec_id. Ties go to the smaller vec_id;
     rows that repeat a vec_id are candidates (and queries) of their own, ranked next to each other.
+    Vectors of different lengths are filled up with zeros. Any finite vector takes part: ranks follow
+    the exact scores, and a score that does not fit 64 bits is shown as the end of their range.
     With fewer than ``k`` candidates all are returned; without queries or candidates, no row.
     """
     spark = vectors.sparkSession
@@ -103,8 +130,8 @@ def top_k(
         F.col("vec_id").alias("query_id"),
         F.col("v").alias("q"),
         "qblock",
-        F.lit(-top).cast("long").alias("low"),
-        F.lit(2 * top + 1).cast("long").alias("span"),
+        F.lit(str(-top)).alias("low"),
+        F.lit(str(2 * top + 1)).alias("span"),
         F.lit(k).cast("long").alias("need"),
     )
     queries = store(queries, "topk-queries")
@@ -117,10 +144,10 @@ def top_k(
     while True:
         counts = _pass(packed, state, width, k, final=False)
         state = store(_refined(state, counts), "topk-state")
-        if state.where(F.col("span") > 1).isEmpty():
+        if state.where("span <> '1'").isEmpty():
             break
-    found = _pass(packed, state, width, k, final=True)
-    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    found = _pass(packed, state, width, k, final=True, top=top)
+    order = W.partitionBy("query_row").orderBy(F.desc("place"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
@@ -138,30 +165,47 @@ def _refined(state: DataFrame, counts: DataFrame) -> DataFrame:
         .where((F.col("reached") >= F.col("need")) & (F.col("reached") - F.col("n") < F.col("need")))
         .select("query_row", "bin", (F.col("reached") - F.col("n")).alias("higher"))
     )
-    step = F.greatest(F.lit(1), F.ceil(F.col("span") / BINS)).cast("long")
-    # A query with fewer than k candidates has no such bin: its range shrinks to its lowest value.
-    low = F.when(F.col("bin").isNull(), F.col("low")).otherwise(F.col("low") + F.col("bin") * step)
-    return state.join(cut, "query_row", "left").select(
-        "query_row",
-        "query_id",
-        "q",
-        "qblock",
-        low.cast("long").alias("low"),
-        F.when(F.col("bin").isNull(), F.lit(1)).otherwise(step).cast("long").alias("span"),
-        (F.col("need") - F.coalesce(F.col("higher"), F.lit(0))).cast("long").alias("need"),
-    )
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows, spans = _integers(batch.column("low")), _integers(batch.column("span"))
+            steps, bins = _steps(spans), batch.column("bin").to_pylist()
+            # A query with fewer than k candidates has no such bin: its range shrinks to its lowest value.
+            low = [
+                str(x if n is None else int(x) + n * int(s))
+                for x, n, s in zip(lows, bins, steps, strict=True)
+            ]
+            span = ["1" if n is None else str(s) for n, s in zip(bins, steps, strict=True)]
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns |= {"low": pa.array(low, pa.string()), "span": pa.array(span, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    names = state.columns
+    need = (F.col("need") - F.coalesce(F.col("higher"), F.lit(0))).cast("long")
+    found = state.join(cut, "query_row", "left").withColumn("need", need)
+    return found.mapInArrow(narrowed, state.schema)
 
 
-def _pass(packed: DataFrame, state: DataFrame, width: int, k: int, final: bool) -> DataFrame:
+def _steps(spans: np.ndarray) -> np.ndarray:
+    """Width of a bin; whole numbers of any size."""
+    return np.maximum(1, -(-spans // BINS))
+
+
+def _pass(
+    packed: DataFrame, state: DataFrame, width: int, k: int, final: bool, top: int = 0
+) -> DataFrame:
     """Score each block of queries against each block of candidates.
 
     Not final: query_row, bin, n (scores of the query in that bin of its range).
-    Final: query_row, query_id, vec_id, score of what may be among the highest ``k``.
+    Final: query_row, query_id, vec_id, score of what may be among the highest ``k``, and ``place``,
+    text in the order of the exact scores, none of which is beyond ``top``.
     """
-    n_blocks = packed.agg(F.max("block")).first()[0] + 1
+    spark = packed.sparkSession
     n_qblocks = state.agg(F.max("qblock")).first()[0] + 1
     # Every block of candidates meets every block of queries: the stated query set against all rows.
-    # Both sides name the pairs of blocks they belong to, so the pairs spread over all tasks.
+    # A task takes a block of queries and a slab of candidate blocks and adds up its histograms, so
+    # there are as many rows as queries, bins and tasks ask for, however many blocks there are.
+    slabs = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_qblocks))
     asked = (
         state.groupBy("qblock")
         .agg(
@@ -169,56 +213,79 @@ def _pass(packed: DataFrame, state: DataFrame, width: int, k: int, final: bool)
                 "asked"
             )
         )
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        .withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
     )
-    pairs = packed.withColumn(
-        "qblock", F.explode(F.sequence(F.lit(0), F.lit(n_qblocks - 1)))
-    ).join(asked, ["qblock", "block"])
+    pairs = packed.select(
+        "rows",
+        F.pmod("block", F.lit(slabs)).alias("slab"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_qblocks - 1))).alias("qblock"),
+    ).join(asked, ["qblock", "slab"])
+    digits = len(str(2 * top + 1))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batch: pa.RecordBatch, i: int) -> Iterator[tuple]:
+        asked_of, given = batch.column("asked")[i].values, batch.column("rows")[i].values
+        part = {name: np.asarray(asked_of.field(name)) for name in ("query_row", "query_id", "need")}
+        part |= {name: _integers(asked_of.field(name)) for name in ("low", "span")}
+        ids = np.asarray(given.field("vec_id"))
+        matrix = _matrix(given.field("v"), width)
+        wanted = _matrix(asked_of.field("q"), width)
+        for at in range(0, len(wanted), 256):
+            some = slice(at, at + 256)
+            chosen = {name: values[some] for name, values in part.items()}
+            other = ids[None, :] != chosen["query_id"][:, None]
+            yield chosen, _scores(wanted[some], matrix), other, ids
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                asked_of = batch.column("asked")[i].values
-                given = batch.column("rows")[i].values
-                part = {name: np.asarray(asked_of.field(name)) for name in
-                        ("query_row", "query_id", "low", "span", "need")}
-                ids = np.asarray(given.field("vec_id"))
-                matrix = _matrix(given.field("v"), width)
-                wanted = _matrix(asked_of.field("q"), width)
-                for at in range(0, len(wanted), 256):
-                    some = slice(at, at + 256)
-                    chosen = {name: values[some] for name, values in part.items()}
-                    scores = _scores(wanted[some], matrix)
-                    other = ids[None, :] != chosen["query_id"][:, None]
-                    make = _candidates if final else _histogram
-                    yield make(chosen, scores, other, ids, k)
+                for found in scored(batch, i):
+                    yield _candidates(*found, top, digits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for i in range(len(batch)):
+                block = batch.column("qblock")[i].as_py()
+                if block not in held:
+                    if len(held) == HELD_BLOCKS:
+                        yield from map(_counted, held.values())
+                        held = {}
+                    rows = np.sort(np.asarray(batch.column("asked")[i].values.field("query_row")))
+                    held[block] = rows, np.zeros((len(rows), BINS), dtype=np.int64)
+                # The same rows of a block may come in another order for another slab.
+                rows, counts = held[block]
+                for chosen, scores, other, _ in scored(batch, i):
+                    counts[np.searchsorted(rows, chosen["query_row"])] += _histogram(chosen, scores, other)
+        yield from map(_counted, held.values())
 
     if final:
-        schema = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
-        return pairs.mapInArrow(score, schema)
-    counted = pairs.mapInArrow(score, "query_row bigint, bin int, n bigint")
+        schema = "query_row bigint, query_id bigint, vec_id bigint, score bigint, place string"
+        return pairs.mapInArrow(select, schema)
+    counted = pairs.mapInArrow(count, "query_row bigint, bin int, n bigint")
     return counted.groupBy("query_row", "bin").agg(F.sum("n").alias("n"))
 
 
-def _histogram(part, scores, other, ids, k) -> pa.RecordBatch:
-    """Counts by bin of the scores within each query's range."""
-    step = np.maximum(1, -(-part["span"] // BINS))[:, None]
-    bins = (scores - part["low"][:, None]) // step
-    inside = other & (bins >= 0) & (scores < (part["low"] + part["span"])[:, None])
-    query = np.broadcast_to(np.arange(len(scores))[:, None], scores.shape)[inside]
-    counts = np.bincount(query * BINS + bins[inside], minlength=len(scores) * BINS)
-    used = np.flatnonzero(counts)
+def _counted(held: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """The bins of a block of queries that hold a score."""
+    rows, counts = held
+    query, bins = np.nonzero(counts)
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(part["query_row"][used // BINS]),
-            pa.array((used % BINS).astype(np.int32)),
-            pa.array(counts[used].astype(np.int64)),
-        ],
+        [pa.array(rows[query]), pa.array(bins.astype(np.int32)), pa.array(counts[query, bins])],
         ["query_row", "bin", "n"],
     )
 
 
-def _candidates(part, scores, other, ids, k) -> pa.RecordBatch:
+def _histogram(part, scores, other) -> np.ndarray:
+    """Counts by query and bin of the scores within each query's range."""
+    low, span, step = (x[:, None] for x in (part["low"], part["span"], _steps(part["span"])))
+    inside = other & (scores >= low) & (scores < low + span)
+    query, row = np.nonzero(inside)
+    bins = ((scores - low) // step)[query, row].astype(np.int64)
+    counts = np.bincount(query * BINS + bins, minlength=len(scores) * BINS)
+    return counts.reshape(len(scores), BINS)
+
+
+def _candidates(part, scores, other, ids, top, digits) -> pa.RecordBatch:
     """What scores above the k-th value, and the smallest ids that score just it."""
     order = np.argsort(ids, kind="stable")
     scores, other, ids = scores[:, order], other[:, order], ids[order]
@@ -226,12 +293,14 @@ def _candidates(part, scores, other, ids, k) -> pa.RecordBatch:
     ties = other & (scores == kth)
     keep = (other & (scores > kth)) | (ties & (np.cumsum(ties, axis=1) <= part["need"][:, None]))
     query, row = np.nonzero(keep)
+    exact = [int(score) for score in scores[query, row]]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(part["query_row"][query]),
             pa.array(part["query_id"][query]),
             pa.array(ids[row]),
-            pa.array(scores[query, row]),
+            pa.array([max(-LARGEST - 1, min(LARGEST, score)) for score in exact], pa.int64()),
+            pa.array([str(score + top).zfill(digits) for score in exact], pa.string()),
         ],
-        ["query_row", "query_id", "vec_id", "score"],
+        ["query_row", "query_id", "vec_id", "score", "place"],
     )

@@ -1,9 +1,11 @@
 import hashlib
 import json
+import math
 import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from operator import mul
 
 import duckdb
 import numpy as np
@@ -117,10 +119,11 @@ def test_cues_and_their_parsers(text, found):
     assert got == ([found] if found else [])
 
 
-def test_planted_secrets_are_found(documents):
+def test_planted_secrets_are_found(spark):
     """Recall and precision on the table, against a plain pattern of what is planted there."""
     pattern = re.compile(r"""(?:token|secret|passw(?:or)?d|api_?key)["']? *[:=] *["']?(\w{16,})""", re.I)
-    texts = [r.text or "" for r in documents.select("text").collect()]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text or "" for r in docs.select("text").collect()]
     planted = {(i, *m.span(1)) for i, text in enumerate(texts) for m in pattern.finditer(text)}
     found = {
         (i, a, b) for i, text in enumerate(texts) for a, b, k in personal_data.find(text) if k == "secret"
@@ -326,6 +329,24 @@ def test_top_k_by_brute_force(spark):
     assert topk_search.top_k(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Ranks follow exact products; scores beyond 64 bits are shown as the end of their range."""
+    rng = np.random.default_rng(5)
+    sizes = [1.0, 1e8, 1e19, 3e38]
+    rows = [(i, (rng.standard_normal(3).clip(-1, 1) * sizes[i % 4]).tolist()) for i in range(60)]
+    rows += [(60, [1e8, 1.0, 0.0]), (61, [1e8, 0.0, 1.0]), (62, [-3e38] * 3), (63, [3e38] * 3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = topk_search.top_k(df, F.col("vec_id") % 20 == 0, 9, query_block=2, candidate_block=7)
+    whole = {i: [math.floor(64 * float(np.float32(c))) for c in v] for i, v in rows}
+    expected, end = set(), 2**63
+    for q in (0, 20, 40, 60):
+        scored = sorted((-sum(map(mul, whole[q], v)), i) for i, v in whole.items() if i != q)
+        expected |= {
+            (q, n + 1, i, max(-end, min(end - 1, -s))) for n, (s, i) in enumerate(scored[:9])
+        }
+    assert {tuple(r) for r in got.collect()} == expected
+
+
 # --- pipeline --------------------------------------------------------------------------------
 
 
