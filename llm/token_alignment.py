@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tiktoken import Encoding
 
 from llm.common import store
-from llm.words import utf8
+from llm.words import begins_solid, ends_solid, solid, utf8
 
 #: Pieces remembered by a worker, and their bytes, at most; then the memory starts anew.
 CACHED_PIECES = 3 << 18
@@ -298,7 +298,7 @@ def _blocks(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[list[bytes]
 
 def _is_safe(piece: bytes) -> bool:
     """Whether the piece begins and ends as if cut at safe places on both sides."""
-    return len(piece) > 1 and piece[0] == 32 and 32 < piece[1] < 127 and 32 < piece[-1] < 127
+    return len(piece) > 1 and piece[0] == 32 and begins_solid(piece, 1) and ends_solid(piece)
 
 
 def _shown(token_bytes: dict[int, bytes], end: str) -> np.ndarray:
@@ -382,14 +382,14 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def safe_cuts(data: bytes) -> np.ndarray:
-    """Places of spaces between two visible ASCII characters, where pieces begin.
+    """Places of spaces between two solid characters, where pieces begin.
 
     Byte-level patterns end a token before white space, and piece models before a space that follows
     another character, so both tokenizers have a token end there in any text.
     """
     codes = np.frombuffer(data, dtype=np.uint8)
-    visible = (codes > 0x20) & (codes < 0x7F)
-    return np.flatnonzero((codes[1:-1] == 0x20) & visible[:-2] & visible[2:]) + 1
+    before, after = solid(codes)
+    return np.flatnonzero((codes[1:-1] == 0x20) & before[:-2] & after[2:]) + 1
 
 
 @cache

@@ -14,7 +14,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -26,18 +26,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from llm.words import begins_solid, ends_solid, solid, utf8
+
 MAGIC = b"TIDP"
 VERSION = 1
 BLOCK_IDS = 4096
 CHUNK_IDS = 1 << 16
 LEVEL = 3
+#: Pieces remembered by a worker, and their bytes, at most; then the memory starts anew.
 CACHED_PIECES = 1 << 20
-#: A word of plain letters before white space or a mark; or else white space and what follows up to
-#: ASCII white space after another character. Each boundary between pieces is also one of pre-tokens
-#: in byte-level patterns: letters end at the mark, and other characters at ASCII white space.
-PIECE = re.compile(
-    r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,!?]|$)|\s*\S+(?:[^\S\t-\r ]\s*\S*)*|\s+"
-)
+CACHED_BYTES = 1 << 24
+#: Letters of ASCII or Latin-1, in UTF-8, with or without a space: one token of a byte-level pattern.
+WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Pieces encoded by one call.
+BATCH = 4096
 
 FILES = (
     "part int, chunk int, part_start bigint, n_ids bigint, doc_ids array<bigint>,"
@@ -48,17 +50,44 @@ FILES = (
 # --- one chunk -------------------------------------------------------------------------------
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number as an 8 by 8 matrix of bits, transposed; doing it twice changes nothing."""
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        t = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x = x ^ t ^ (t << np.uint64(shift))
+    return x
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Bits of bytes, whose number is a multiple of 8, as eight rows: bit 0 of all values first.
+
+    Eight values make a byte of each row, the first value in its highest bit.
+    """
+    eight = np.ascontiguousarray(values).view(">u8").astype(np.uint64)
+    return np.ascontiguousarray(_turned(eight).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    eight = np.ascontiguousarray(planes.T).reshape(-1).view("<u8").astype(np.uint64)
+    return _turned(eight).astype(">u8").view(np.uint8)
+
+
 def pack(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
-    """Header (magic, version, planes, block size, ids, bytes of each plane), then the planes."""
+    """Header (magic, version, planes, block size, ids, bytes of each plane), then the planes.
+
+    ``block_ids`` is a multiple of 8.
+    """
     ids = np.ascontiguousarray(ids, dtype="<u4")
     bits = int(ids.max(initial=0)).bit_length()
     blocks = -(-len(ids) // block_ids)
     filled = np.zeros(blocks * block_ids, dtype="<u4")
     filled[: len(ids)] = ids
+    lanes = filled.view(np.uint8).reshape(-1, 4)
     compressor = zstandard.ZstdCompressor(level=LEVEL)
     planes = [
-        compressor.compress(np.packbits((filled >> np.uint32(bit)) & np.uint32(1)).tobytes())
-        for bit in range(bits)
+        compressor.compress(plane.tobytes())
+        for lane in range(-(-bits // 8))
+        for plane in _planes(lanes[:, lane])[: bits - 8 * lane]
     ]
     header = struct.pack("<4sHHIQ", MAGIC, VERSION, bits, block_ids, len(ids))
     return header + struct.pack(f"<{bits}I", *map(len, planes)) + b"".join(planes)
@@ -73,13 +102,15 @@ def unpack(data: bytes) -> np.ndarray:
     sizes = struct.unpack_from(f"<{bits}I", data, at)
     at += 4 * bits
     filled = -(-n // block_ids) * block_ids
-    ids = np.zeros(filled, dtype=np.uint32)
+    lanes = np.zeros((filled, 4), dtype=np.uint8)
+    planes = np.zeros((32, filled // 8), dtype=np.uint8)
     reader = zstandard.ZstdDecompressor()
     for bit, size in enumerate(sizes):
-        plane = reader.decompress(data[at : at + size])
-        ids |= np.unpackbits(np.frombuffer(plane, dtype=np.uint8)).astype(np.uint32) << np.uint32(bit)
+        planes[bit] = np.frombuffer(reader.decompress(data[at : at + size]), dtype=np.uint8)
         at += size
-    return ids[:n]
+    for lane in range(-(-bits // 8)):
+        lanes[:, lane] = _from_planes(planes[8 * lane : 8 * lane + 8])
+    return lanes.reshape(-1).view("<u4")[:n].astype(np.uint32)
 
 
 # --- encoding --------------------------------------------------------------------------------
@@ -88,61 +119,137 @@ def unpack(data: bytes) -> np.ndarray:
 class PieceEncoder:
     """The library's ids of texts, with the ids of pieces that came before remembered.
 
-    A text's ids are those of its pieces in order, since no token reaches over a boundary of
-    pre-tokens. At most ``CACHED_PIECES`` pieces and those of one call are remembered; then the
-    memory starts anew.
+    Texts, given as UTF-8, are cut where a byte-level pattern ends a token whatever stands around (see
+    ``cuts``), so a text's ids are those of its pieces in order. New pieces are encoded many at a time,
+    as one text where they can be put together, and told apart by the bytes of their tokens. Plain
+    words, which the pattern would not split, go to the library's model without its pattern, already
+    spelled in its byte-level alphabet.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        # The printable stand-ins of bytes: themselves if visible, else the next from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [byte for byte in range(256) if byte not in shown]
+        self.alphabet = {byte: 256 + i for i, byte in enumerate(hidden)}
+        # A character of an ordinary entry stands for a byte; a special entry is text itself.
+        special = self.tokenizer.get_added_tokens_decoder()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for entry, i in vocabulary.items():
+            self.sizes[i] = len(entry.encode()) if i in special else len(entry)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1, dtype=np.int64)
-
-    def learn(self, pieces: list[str]) -> None:
+        self.ends = np.zeros(1 << 12, dtype=np.int64)
+        self.size = 0
+
+    def _encoded(self, pieces: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces encoded as one text, and the end of each piece in them.
+
+        None if a piece does not end with a token there.
+        """
+        if plain:
+            spelled = b"\n".join(pieces).decode("latin-1")
+            text, library = spelled.translate(self.alphabet | {10: 10}), self.words
+        else:
+            text, library = b"".join(pieces).decode(), self.tokenizer
+        (found,) = library.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(found.ids, dtype=np.uint32)
+        reached = np.cumsum(self.sizes[ids])
+        bounds = np.cumsum([len(piece) for piece in pieces])
+        ends = np.searchsorted(reached, bounds)
+        if not len(ids) or ends[-1] + 1 != len(ids) or not np.array_equal(reached[ends], bounds):
+            return None
+        return ids, ends + 1
+
+    def learn(self, pieces: list[bytes]) -> None:
         """Encode pieces that are not known, each once."""
-        new: list[list[int]] = []
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            new += [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        used = int(self.ends[-1])
-        ends = used + np.cumsum([len(ids) for ids in new], dtype=np.int64)
-        if ends[-1] > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * int(ends[-1]))
-        flat = chain.from_iterable(new)
-        self.ids[used : ends[-1]] = np.fromiter(flat, np.uint32, int(ends[-1]) - used)
-        first = len(self.known)
-        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-        self.ends = np.concatenate((self.ends, ends))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [PIECE.findall(text) for text in texts]
-        for _ in range(2):
-            known = self.known
-            missing = list(set().union(*split).difference(known))
-            if not missing:
-                break
-            if known and len(known) + len(missing) > CACHED_PIECES:
+        plain, joined, alone = [], [], []
+        for piece in pieces:
+            kind = plain if WORD.fullmatch(piece) else joined if _is_word(piece) else alone
+            kind.append(piece)
+        for some, is_plain in ((plain, True), (joined, False)):
+            found = self._encoded(some, is_plain) if some else None
+            if found:
+                self._keep(some, *found)
+            else:
+                alone += some
+        texts = [piece.decode() for piece in alone]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(encoded), np.uint32, sum(map(len, encoded)))
+        self._keep(alone, ids, np.cumsum([len(e) for e in encoded], dtype=np.int64))
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, new = len(self.known), len(self.known) + len(pieces)
+        self.known.update(zip(pieces, range(n, new), strict=True))
+        used = int(self.ends[n])
+        if new + 1 > len(self.ends):
+            self.ends = np.resize(self.ends, new + new // 2 + 1)
+        if used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, (used + len(ids)) * 3 // 2)
+        self.ends[n + 1 : new + 1] = used + ends
+        self.ids[used : used + len(ids)] = ids
+        self.size += sum(map(len, pieces))
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            missing = list({p for p, at in zip(pieces, found, strict=True) if at is None})
+            if len(self.known) + len(missing) > CACHED_PIECES or self.size > CACHED_BYTES:
                 self.forget()
-                continue
-            self.learn(missing)
-            break
-        number = self.known.__getitem__
-        return [self._gather(list(map(number, pieces))) for pieces in split]
-
-    def _gather(self, numbers: list[int]) -> np.ndarray:
-        if not numbers:
-            return np.empty(0, dtype=np.uint32)
-        at = np.array(numbers, dtype=np.int64)
-        first, count = self.ends[at], self.ends[at + 1] - self.ends[at]
-        before = np.cumsum(count) - count
-        return self.ids[np.arange(int(count.sum())) + np.repeat(first - before, count)]
+                missing = list(set(pieces))
+            for at in range(0, len(missing), BATCH):
+                self.learn(missing[at : at + BATCH])
+            found = list(map(self.known.get, pieces))
+        return np.array(found, dtype=np.int64)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        pieces, stops = [], []
+        for data in texts:
+            bounds = [0, *cuts(data).tolist(), len(data)]
+            if data:
+                pieces += [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            stops.append(len(pieces))
+        numbers = self._numbers(pieces)
+        first, count = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        after = np.cumsum(count)
+        ids = self.ids[np.arange(int(count.sum())) + np.repeat(first - (after - count), count)]
+        return np.split(ids, np.append(0, after)[stops[:-1]])
+
+
+#: Single marks, which end a piece before them if a letter comes before.
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[list(b".,!?;:")] = True
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+
+
+def cuts(data: bytes) -> np.ndarray:
+    """Places where pieces begin: a space or line end between two solid characters, what follows such a
+    line end, and a mark behind a letter. Byte-level patterns end a token there in any text, and no
+    special entry goes on."""
+    codes = np.frombuffer(data, dtype=np.uint8)
+    if len(codes) < 3:
+        return np.empty(0, dtype=np.int64)
+    before, after = solid(codes)
+    inside, around = codes[1:-1], before[:-2] & after[2:]
+    lines = np.flatnonzero((inside == 0x0A) & around) + 1
+    letters = _LETTERS[codes[:-2]] | before[:-2] & (codes[:-2] >= 0x80) & (codes[:-2] & 0x9F != 0x97)
+    rest = np.flatnonzero((inside == 0x20) & around | _MARKS[inside] & letters) + 1
+    return np.unique(np.concatenate((rest, lines, lines + 1)))
+
+
+def _is_word(piece: bytes) -> bool:
+    """Whether another piece may follow this one, and stand before it, without any change."""
+    return len(piece) > 1 and piece[0] == 32 and begins_solid(piece, 1) and ends_solid(piece)
 
 
 @cache
@@ -152,15 +259,15 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _in_pieces(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Neighbouring texts of about so many characters together."""
-    some, size = [], 0
+def _in_pieces(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Neighbouring texts of about so many bytes together."""
+    some, held = [], 0
     for text in texts:
         some.append(text)
-        size += len(text)
-        if size >= chars:
+        held += len(text)
+        if held >= size:
             yield some
-            some, size = [], 0
+            some, held = [], 0
     if some:
         yield some
 
@@ -173,16 +280,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
 
     The stored rows are chunks (columns of ``FILES``): ``data`` is the chunk itself, the other
     columns its index entry. Ascending (part, chunk) is ascending doc_id; a null doc_id comes first,
-    and rows that repeat one follow each other. Null and empty texts have the end id only.
+    and rows that repeat one follow each other. Null and empty texts have the end id only. Texts are
+    encoded as the library does it by itself, so the name of a special entry in a text is that entry.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
         chunk, start, waiting, ids_of, size = 0, 0, [], [], 0
+        end = np.array([end_id], dtype=np.uint32)
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(ids_of)
-            values = [part, chunk, start, len(ids), waiting, [len(x) for x in ids_of], pack(ids)]
+            counts = [len(x) + 1 for x in ids_of[::2]]
+            values = [part, chunk, start, len(ids), waiting, counts, pack(ids)]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             types += [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = [field.split()[0] for field in FILES.split(", ")]
@@ -192,11 +302,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
 
         for batch in batches:
             doc_ids = iter(batch.column("doc_id").to_pylist())
-            texts = [text or "" for text in batch.column("text").to_pylist()]
+            offsets, data = utf8(batch.column("text"))
+            texts = (data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True))
             for some in _in_pieces(texts):
                 for ids in encoder.encode(some):
                     waiting.append(next(doc_ids))
-                    ids_of.append(np.append(ids, np.uint32(end_id)))
+                    ids_of += [ids, end]
                     size += len(ids) + 1
                     if size >= CHUNK_IDS:
                         yield flush()
@@ -234,7 +345,11 @@ def chunk_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """The documents in the files: doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32 (of the ids as little-endian unsigned 32-bit integers), and ``ids`` if asked for."""
+    ids_crc32 (of the ids as little-endian unsigned 32-bit integers), and ``ids`` if asked for.
+
+    Null doc_ids and rows that repeat one come back as they were written; files without documents
+    give no row.
+    """
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     if with_ids:
         schema += ", ids array<bigint>"

@@ -145,3 +145,27 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def distinct_shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(shingles(hashes, width))
+
+
+# --- characters that are surely no white space -----------------------------------------------
+# Solid are the visible characters of ASCII and those that begin with the byte 0xC3 in UTF-8 (letters
+# of Latin-1, and two signs).
+
+_VISIBLE = np.zeros(256, dtype=bool)
+_VISIBLE[33:127] = True
+
+
+def solid(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte, whether a solid character ends with it, and whether one begins with it."""
+    visible, first = _VISIBLE[codes], codes == 0xC3
+    ends = visible.copy()
+    ends[1:] |= first[:-1]
+    return ends, visible | first
+
+
+def begins_solid(data: bytes, at: int) -> bool:
+    return 32 < data[at] < 127 or data[at] == 0xC3
+
+
+def ends_solid(data: bytes) -> bool:
+    return 32 < data[-1] < 127 or data[-2] == 0xC3

@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -211,9 +212,10 @@ def test_stitching_any_text():
 def test_token_files(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(token_files, "CHUNK_IDS", 64)
     path = scratch_path(spark, "test-tokens")
+    marked = [(13, "a <|endoftext|> b<|endoftext|>", "en", "s", 0), (14, "<|endoftext|", "en", "s", 0)]
+    odd_docs = odd_docs.unionByName(spark.createDataFrame(marked, odd_docs.schema))
     token_files.write_tokens(odd_docs, path, JSON, end_id=2)
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     rows = sorted(odd_docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     expected, start = [], 0
     for r in rows:
@@ -225,11 +227,32 @@ def test_token_files(spark, odd_docs, monkeypatch):
     assert sorted(got, key=lambda r: r[1]) == expected
 
 
+def test_pieces_give_the_ids_of_the_library(some_texts, monkeypatch):
+    rng = random.Random(6)
+    parts = "word Ab 's , . !? ;: é <|endoftext|> 12 日本 it's don't a.b e,f x\x00".split() + [
+        " ", "  ", "\n", " \n ", "\t", "\u3000", "\u00a0", "\x1c", "\x85", "İ",
+    ]
+    texts = some_texts + ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(6000)]
+    tokenizer = Tokenizer.from_file(JSON)
+    expected = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(token_files, "BATCH", 50)
+    for cached in (1 << 20, 40):
+        monkeypatch.setattr(token_files, "CACHED_PIECES", cached)
+        encoder = token_files.PieceEncoder(JSON)
+        for at in range(0, len(texts), 500):
+            got = encoder.encode([text.encode() for text in texts[at : at + 500]])
+            assert [x.tolist() for x in got] == expected[at : at + 500]
+
+
 def test_bit_planes():
     rng = np.random.default_rng(0)
     for ids in ([], [0], [50256], rng.integers(0, 1 << 32, 9000), np.zeros(4096)):
         ids = np.array(ids, dtype=np.uint32)
         assert (token_files.unpack(token_files.pack(ids)) == ids).all()
+    # A plane holds one bit of each value, the first value in the highest bit of a byte.
+    values = rng.integers(0, 256, 64, dtype=np.uint8)
+    expected = [np.packbits(values >> bit & 1) for bit in range(8)]
+    assert (token_files._planes(values) == expected).all()
 
 
 # --- chats -----------------------------------------------------------------------------------
