@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -328,3 +329,98 @@ def test_chains_follow_the_fenwick_tree():
     (first, *rest) = substring_dedup.chain(a, b)
     assert first.tolist() == [0, 1, 3, 5, 6]
     assert sorted(len(c) for c in rest) == [1, 1]
+
+
+def longest_alike(x, y, identity=80):
+    """Brute force: the most words of ``x`` in one part of some diagonal that is alike enough."""
+    best = 0
+    for shift in range(-len(y) + 1, len(x)):
+        first, end = max(0, shift), min(len(x), len(y) + shift)
+        equal = np.array([x[i] == y[i - shift] for i in range(first, end)], dtype=int)
+        sums = np.concatenate(([0], np.cumsum(100 * equal - identity)))
+        for i in range(len(sums)):
+            reached = np.flatnonzero(sums >= sums[i])
+            best = max(best, int(reached[-1]) - i)
+    return best
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Of the pairs that share a passage alike enough, nine in ten are found at least, by length and
+    number of changed words; and nothing else."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30_000)]
+
+    def noise(n):
+        return [rng.choice(words) for _ in range(n)]
+
+    rows, planted = [], defaultdict(list)
+    for n in (50, 100, 200):
+        for percent in (0, 10, 20):
+            for _ in range(40):
+                passage = noise(n)
+                changed = list(passage)
+                for i in rng.sample(range(n), n * percent // 100):
+                    changed[i] = f"new{rng.choice(words)}"
+                doc = len(rows)
+                rows += [(doc, noise(60) + passage + noise(60)), (doc + 1, noise(60) + changed + noise(60))]
+                planted[n, percent].append(doc + 1)
+    rows += [(len(rows) + i, noise(300)) for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(text)) for i, text in rows], "doc_id bigint, text string")
+    found = defaultdict(list)
+    for r in substring_dedup.repeated_passages(docs).collect():
+        found[r.doc_id].append((r.start, r.end, r.others))
+    for (n, percent), ids in planted.items():
+        held = sum(
+            sum(max(0, min(b, 60 + n) - max(a, 60)) for a, b, others in found[i] if others == [i - 1])
+            >= n / 2
+            for i in ids
+        )
+        assert held >= 0.9 * len(ids), (n, percent, held)
+        for i in ids[:3]:
+            assert longest_alike(rows[i][1], rows[i - 1][1]) >= n
+    assert {i for i, spans in found.items() if spans} <= {i for ids in planted.values() for i in ids}
+
+
+def test_chains_are_cut_where_words_differ(spark):
+    """A passage counts by itself, whatever repeats behind it or in other documents."""
+    rng = np.random.default_rng(2)
+
+    def noise(n):
+        return [f"n{rng.integers(1 << 40)}" for _ in range(n)]
+
+    shared, more = noise(50), noise(23)
+    stock = [shared[i : i + 6] for i in range(0, 48, 6)]
+    rows = [(i, noise(30) + part + noise(30)) for i, part in enumerate(stock)]
+    rows += [(20, noise(40) + shared + noise(20) + more + noise(40))]
+    rows += [(21, noise(9) + shared + noise(20) + more + noise(40))]
+    docs = spark.createDataFrame([(i, " ".join(text)) for i, text in rows], "doc_id bigint, text string")
+    (found,) = substring_dedup.repeated_passages(docs).collect()
+    assert (found.doc_id, found.start, found.end, found.n_equal) == (21, 9, 59, 50)
+    assert 20 in found.others
+
+
+def test_alike_parts_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        equal = rng.random(60) < rng.choice([0.5, 0.8, 0.95])
+        lost = (rng.random(60) < 0.05).astype(int)
+        parts = substring_dedup.alike_parts(equal, lost, 10, 10)
+        score = np.concatenate(([0], np.cumsum(np.where(equal, 1, -4) - 4 * lost)))
+        longest = max(j - i for i in range(61) for j in range(i, 61) if score[j] >= score[i])
+        assert bool(parts) == (longest >= 10)
+        places = [i for a, b, _ in parts for i in range(a, b)]
+        assert len(places) == len(set(places))
+        for a, b, n in parts:
+            assert b - a >= 10 and n == equal[a:b].sum() and n >= 0.8 * (b - a) - 1e-9
+
+
+def test_seeds_leave_no_window_empty():
+    rng = np.random.default_rng(1)
+    for n in (4, 5, 50, 400):
+        words = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        places = substring_dedup.seed_places(words)
+        bounds = np.concatenate(([-1], places, [n - substring_dedup.K + 1]))
+        assert len(places) and np.diff(bounds).max() <= substring_dedup.WINDOW
+        inner = substring_dedup.seed_places(words[1:])
+        kept = (places >= substring_dedup.WINDOW) & (places < n - 2 * substring_dedup.WINDOW)
+        assert np.isin(places[kept] - 1, inner).all()
