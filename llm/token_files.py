@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from llm.words import begins_solid, ends_solid, solid, utf8
+from llm.words import begins_solid, ends_solid, mix, utf8
 
 MAGIC = b"TIDP"
 VERSION = 1
@@ -38,6 +38,9 @@ CACHED_PIECES = 1 << 20
 CACHED_BYTES = 1 << 24
 #: Letters of ASCII or Latin-1, in UTF-8, with or without a space: one token of a byte-level pattern.
 WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PLAIN_FIRST = frozenset(b" ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+#: Bytes of such words that are not spelled as themselves.
+SPELLED = [" ", *map(chr, range(0x80, 0xA1)), "\xad"]
 #: Pieces encoded by one call.
 BATCH = 4096
 
@@ -136,7 +139,7 @@ class PieceEncoder:
         # The printable stand-ins of bytes: themselves if visible, else the next from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [byte for byte in range(256) if byte not in shown]
-        self.alphabet = {byte: 256 + i for i, byte in enumerate(hidden)}
+        self.alphabet = {chr(byte): chr(256 + i) for i, byte in enumerate(hidden)}
         # A character of an ordinary entry stands for a byte; a special entry is text itself.
         special = self.tokenizer.get_added_tokens_decoder()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -157,8 +160,10 @@ class PieceEncoder:
         None if a piece does not end with a token there.
         """
         if plain:
-            spelled = b"\n".join(pieces).decode("latin-1")
-            text, library = spelled.translate(self.alphabet | {10: 10}), self.words
+            text, library = b"\n".join(pieces).decode("latin-1"), self.words
+            # Only spaces and second bytes of letters stand for others.
+            for byte in SPELLED if not text.isascii() else " ":
+                text = text.replace(byte, self.alphabet[byte])
         else:
             text, library = b"".join(pieces).decode(), self.tokenizer
         (found,) = library.encode_batch_fast([text], add_special_tokens=False)
@@ -174,8 +179,10 @@ class PieceEncoder:
         """Encode pieces that are not known, each once."""
         plain, joined, alone = [], [], []
         for piece in pieces:
-            kind = plain if WORD.fullmatch(piece) else joined if _is_word(piece) else alone
-            kind.append(piece)
+            if piece[1:].isalpha() and piece[0] in PLAIN_FIRST or WORD.fullmatch(piece):
+                plain.append(piece)
+            else:
+                (joined if _is_word(piece) else alone).append(piece)
         for some, is_plain in ((plain, True), (joined, False)):
             found = self._encoded(some, is_plain) if some else None
             if found:
@@ -212,39 +219,86 @@ class PieceEncoder:
         return np.array(found, dtype=np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        pieces, stops = [], []
-        for data in texts:
-            bounds = [0, *cuts(data).tolist(), len(data)]
-            if data:
-                pieces += [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            stops.append(len(pieces))
-        numbers = self._numbers(pieces)
-        first, count = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        data = b"".join(texts)
+        stops = np.cumsum([len(text) for text in texts])
+        is_start = np.zeros(len(data) + 1, dtype=bool)
+        is_start[cuts(data)] = True
+        is_start[0], is_start[stops] = True, True
+        bounds = np.flatnonzero(is_start)
+        starts, sizes = bounds[:-1], np.diff(bounds)
+        first, inverse = distinct_pieces(data, starts, sizes)
+        ends = (starts + sizes)[first].tolist()
+        pieces = [data[i:j] for i, j in zip(starts[first].tolist(), ends, strict=True)]
+        numbers = self._numbers(pieces)[inverse]
+        begin, count = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
         after = np.cumsum(count)
-        ids = self.ids[np.arange(int(count.sum())) + np.repeat(first - (after - count), count)]
-        return np.split(ids, np.append(0, after)[stops[:-1]])
+        ids = self.ids[np.arange(int(count.sum())) + np.repeat(begin - (after - count), count)]
+        return np.split(ids, np.append(0, after)[np.searchsorted(starts, stops)][:-1])
+
+
+#: Keeps the first n bytes of a little-endian number, for n from 0 to 8.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
-#: Single marks, which end a piece before them if a letter comes before.
-_MARKS = np.zeros(256, dtype=bool)
-_MARKS[list(b".,!?;:")] = True
-_LETTERS = np.zeros(256, dtype=bool)
-_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+def distinct_pieces(
+    data: bytes, starts: np.ndarray, sizes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of pieces that stand for all others, and for each piece the place of its stand-in.
+
+    Pieces of up to 16 bytes are compared as two numbers and their size; longer ones stand for
+    themselves.
+    """
+    padded = data + bytes(16)
+    eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
+    low = eight[starts] & _KEEP[np.minimum(sizes, 8)]
+    high = eight[starts + 8] & _KEEP[np.clip(sizes - 8, 0, 8)]
+    key = mix(low + mix(high + sizes.astype(np.uint64)))
+    order = np.argsort(key)
+    ranked = key[order]
+    fresh = np.append(True, ranked[1:] != ranked[:-1])[: len(order)]
+    first = order[fresh]
+    inverse = np.empty(len(order), dtype=np.int64)
+    inverse[order] = np.cumsum(fresh) - 1
+    stand_in = first[inverse]
+    same = (low == low[stand_in]) & (high == high[stand_in]) & (sizes == sizes[stand_in])
+    own = np.flatnonzero(~same | (sizes > 16))
+    inverse[own] = len(first) + np.arange(len(own))
+    return np.concatenate((first, own)), inverse
+
+
+# What a byte may be, as bits: a visible ASCII character, the first byte of a Latin-1 letter, a single
+# mark, an ASCII letter, the second byte of a letter, a space, a line end.
+_SOLID, _FIRST, _MARK, _LETTER, _SECOND, _SPACE, _LINE = (1 << i for i in range(7))
+_KINDS = bytes(
+    (_SOLID if 32 < c < 127 else 0)
+    | (_FIRST if c == 0xC3 else 0)
+    | (_MARK if c in b".,!?;:" else 0)
+    | (_LETTER if chr(c).isascii() and chr(c).isalpha() else 0)
+    | (_SECOND if c >= 0x80 and c & 0x9F != 0x97 else 0)
+    | (_SPACE if c == 0x20 else 0)
+    | (_LINE if c == 0x0A else 0)
+    for c in range(256)
+)
 
 
 def cuts(data: bytes) -> np.ndarray:
     """Places where pieces begin: a space or line end between two solid characters, what follows such a
     line end, and a mark behind a letter. Byte-level patterns end a token there in any text, and no
     special entry goes on."""
-    codes = np.frombuffer(data, dtype=np.uint8)
-    if len(codes) < 3:
+    kinds = np.frombuffer(data.translate(_KINDS), dtype=np.uint8)
+    if len(kinds) < 3:
         return np.empty(0, dtype=np.int64)
-    before, after = solid(codes)
-    inside, around = codes[1:-1], before[:-2] & after[2:]
-    lines = np.flatnonzero((inside == 0x0A) & around) + 1
-    letters = _LETTERS[codes[:-2]] | before[:-2] & (codes[:-2] >= 0x80) & (codes[:-2] & 0x9F != 0x97)
-    rest = np.flatnonzero((inside == 0x20) & around | _MARKS[inside] & letters) + 1
-    return np.unique(np.concatenate((rest, lines, lines + 1)))
+    second = np.zeros(len(kinds), dtype=bool)
+    second[1:] = (kinds[:-1] & _FIRST) != 0
+    ends = ((kinds & _SOLID) != 0) | second
+    begins = (kinds & (_SOLID | _FIRST)) != 0
+    letters = ((kinds & _LETTER) != 0) | second & ((kinds & _SECOND) != 0)
+    inside, around = kinds[1:-1], ends[:-2] & begins[2:]
+    lines = ((inside & _LINE) != 0) & around
+    found = np.zeros(len(kinds), dtype=bool)
+    found[1:-1] = lines | ((inside & _SPACE) != 0) & around | ((inside & _MARK) != 0) & letters[:-2]
+    found[2:] |= lines
+    return np.flatnonzero(found)
 
 
 def _is_word(piece: bytes) -> bool:
