@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import store
+
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 9
 #: Characters a pre-token must be able to see after its end, where the text goes on.
@@ -136,10 +138,11 @@ def encode(
 
     short = kept.where(~is_long).mapInArrow(whole, schema)
 
-    # ``row`` tells rows apart that share a doc_id. Spark seeds it once per query and draws by
-    # partition and row, so a task that runs again draws the same.
+    # ``row`` tells rows apart that share a doc_id. It is stored with the long texts, so that a task
+    # that runs again, on rows in another order, cannot give the chunks of a text another number.
     others = [c for c in kept.columns if c != "text"]
-    marked = kept.where(is_long).select("text", *others, F.expr("uuid()").alias("row"))
+    number = F.monotonically_increasing_id().alias("row")
+    marked = store(kept.where(is_long).select("text", *others, number), "bpe-long-texts")
     window_schema = marked.select(
         "row",
         *others,

@@ -35,7 +35,8 @@ class Mapping:
     ``paths`` are the nested field paths, list elements as ``[]``; ``optional`` ones may be absent.
     ``turns`` has (role, text) for each turn: a role is a path after ``$`` or a fixed word, a text
     joins the paths with a blank line. With ``each``, a list, the turns repeat for its elements and
-    paths start there. ``roles`` renames roles.
+    paths start there. ``roles`` renames roles. Fields named in ``ignored`` may be there too, with
+    whatever is below them.
     """
 
     name: str
@@ -44,6 +45,7 @@ class Mapping:
     optional: tuple[str, ...] = ()
     each: str = ""
     roles: tuple[tuple[str, str], ...] = ()
+    ignored: tuple[str, ...] = ("id", "name", "source", "metadata")
 
 
 MAPPINGS: tuple[Mapping, ...] = (
@@ -86,16 +88,31 @@ def fingerprint(paths: set[str] | tuple[str, ...]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def fingerprints(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
-    """The mapping of each fingerprint; a mapping has one for each set of its optional paths."""
-    found = {}
+Known = dict[tuple[str, ...], dict[str, Mapping]]
+
+
+def fingerprints(mappings: tuple[Mapping, ...] = MAPPINGS) -> Known:
+    """The mapping of each fingerprint, by the fields that are ignored for it; a mapping has one for
+    each set of its optional paths."""
+    every: Known = {}
     for mapping in mappings:
+        found = every.setdefault(mapping.ignored, {})
         for bits in range(1 << len(mapping.optional)):
             some = {p for i, p in enumerate(mapping.optional) if bits >> i & 1}
             found[fingerprint({*mapping.paths, *some})] = mapping
         if mapping.each:  # an empty list has no element to show its fields
             found.setdefault(fingerprint({f"{mapping.each}[]"}), mapping)
-    return found
+    return every
+
+
+def mapping_of(paths: set[str] | frozenset[str], known: Known) -> Mapping | None:
+    """The mapping whose fingerprint the paths have, as they are or without ignored fields."""
+    for ignored, found in known.items():
+        for left_out in ((), ignored):
+            kept = {p for p in paths if re.split(r"[.\[]", p, maxsplit=1)[0] not in left_out}
+            if mapping := found.get(fingerprint(kept)):
+                return mapping
+    return None
 
 
 def _parsed(raw: str | None) -> object:
@@ -127,27 +144,31 @@ def canonical_turns(
     """conv_id, position (of the record), step (of the turn in it), role, text, layout.
 
     ``record_column`` holds JSON objects. A record whose fingerprint no mapping has, or that is no
-    JSON object, gives one row with null role and the layout ``unknown:<fingerprint>``, so nothing is
-    lost unseen. Null texts are empty.
+    JSON object, gives one row with null role and the layout ``unknown:<fingerprint>``, and a record
+    without any turn one with the layout ``empty:<mapping>``, so nothing is lost unseen. Null texts
+    are empty. Null ids and positions pass through, and so do records that repeat.
     """
     schema = "conv_id bigint, position bigint, step int, role string, text string, layout string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = fingerprints(mappings)
-        layouts: dict[frozenset, str] = {}
+        layouts: dict[frozenset, Mapping | None] = {}
         for batch in batches:
             rows = []
             for conv, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 record = _parsed(raw)
                 paths = frozenset(field_paths(record)) if isinstance(record, dict) else frozenset()
                 if paths not in layouts:
-                    layouts[paths] = fingerprint(set(paths))
-                mapping = known.get(layouts[paths])
+                    layouts[paths] = mapping_of(paths, known)
+                mapping = layouts[paths]
                 if mapping is None:
-                    rows.append((conv, at, 0, None, None, f"unknown:{layouts[paths]}"))
+                    rows.append((conv, at, 0, None, None, f"unknown:{fingerprint(set(paths))}"))
                     continue
-                for step, (role, text) in enumerate(record_turns(record, mapping)):
+                turns = record_turns(record, mapping)
+                for step, (role, text) in enumerate(turns):
                     rows.append((conv, at, step, role, text, mapping.name))
+                if not turns:
+                    rows.append((conv, at, 0, None, None, f"empty:{mapping.name}"))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -190,7 +211,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def formatted_turns(turns: DataFrame) -> DataFrame:
     """``turns`` with ``formatted``, the text of the turn between control strings.
 
-    Turns of unknown layouts have none. A conversation is its turns put together by (position, step).
+    Rows of unknown layouts and of empty records have none. A null role or text of another row counts
+    as no turn either. A conversation is its turns put together by (position, step).
     """
     return turns.withColumn("formatted", formatted_turn(F.col("role"), F.col("text")))
 

@@ -101,6 +101,15 @@ def _document_hashes(text: str | None, min_chars: int) -> list[int]:
 _FILTERS = "segment bigint, once binary, twice binary"
 
 
+def _set_bits(bloom: np.ndarray, places: np.ndarray) -> None:
+    """Set bits by their places; those of one byte are put together before."""
+    places = np.unique(places)
+    if len(places):
+        first = np.flatnonzero(np.append(True, np.diff(places >> 3) != 0))
+        bits = (1 << (places & 7)).astype(np.uint8)
+        bloom[places[first] >> 3] |= np.bitwise_or.reduceat(bits, first)
+
+
 def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     """The merged filter of hashes seen in two documents or more, as bytes of ``2**bits`` bits.
 
@@ -120,8 +129,8 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
             some_once, some_twice = task_filters(np.array(found, dtype=np.uint64), bits)
             was = (once[some_once >> 3] >> (some_once & 7)) & 1
             again = np.concatenate((some_twice, some_once[was == 1]))
-            np.bitwise_or.at(twice, again >> 3, (1 << (again & 7)).astype(np.uint8))
-            np.bitwise_or.at(once, some_once >> 3, (1 << (some_once & 7)).astype(np.uint8))
+            _set_bits(twice, again)
+            _set_bits(once, some_once)
         step = 1 << (SEGMENT_BITS - 3)
         for segment in range(segments):
             part = slice(segment * step, (segment + 1) * step)

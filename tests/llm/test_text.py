@@ -268,8 +268,13 @@ def test_layouts_and_escapes(spark):
         {"other": 1},
         {"role": None, "text": None},
     ]
+    records += [
+        {"messages": []},
+        {"id": 7, "source": {"url": "x"}, "prompt": "q", "completion": "a"},
+        {"name": "n", "messages": [{"role": "user", "content": "q", "id": 1}]},
+    ]
     rows = [(i, 0, json.dumps(r)) for i, r in enumerate(records)]
-    rows += [(9, None, None), (10, 0, "{no json"), (11, 0, "")]
+    rows += [(20, None, None), (10, 0, "{no json"), (11, 0, "")]
     df = spark.createDataFrame(rows, "c bigint, o bigint, r string")
     shown = chat_format.formatted_turns(chat_format.canonical_turns(df, "c", "o", "r"))
     found = defaultdict(list)
@@ -278,8 +283,10 @@ def test_layouts_and_escapes(spark):
     assert found[0] == [("user", "q"), ("assistant", text)] == found[2]
     assert found[1] == [("user", "do\n\nit"), ("assistant", "done")]
     assert found[3] == [("user", "q"), ("assistant", "")]
-    assert found[4] == found[9] == found[10] == found[11] == ["unknown:"]
+    assert found[4] == found[20] == found[10] == found[11] == ["unknown:"]
     assert found[5] == [("", "")]
+    assert found[6] == ["empty:me"] and found[7] == [("user", "q"), ("assistant", "a")]
+    assert found[8] == ["unknown:"]  # what is ignored are fields of the record, not of its turns
 
 
 # --- mixing ----------------------------------------------------------------------------------
