@@ -31,7 +31,7 @@ from llm.common import store
 from llm.words import begins_solid, ends_solid, solid, utf8
 
 #: Pieces remembered by a worker, and their bytes, at most; then the memory starts anew.
-CACHED_PIECES = 3 << 18
+CACHED_PIECES = 1 << 19
 CACHED_BYTES = 1 << 24
 #: Distinct links of the documents of a bucket, at most (a single document may have more).
 BUCKET_LINKS = 1 << 20
