@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from llm import secret_scan
+from llm.quality_rules import RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = " || ".join(f"chr({code})" for code in (0x20, *range(0x09, 0x0E)))
@@ -78,6 +79,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM ruled
 """
 
+ABLATIONS = f"""
+SELECT r.rule, count(*) FILTER (WHERE q.failed & r.bit <> 0) AS n_failed,
+    count(*) FILTER (WHERE q.failed = r.bit) AS n_only
+FROM ({QUALITY}) q, (VALUES {", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(RULES))}) r(rule, bit)
+GROUP BY r.rule
+"""
+
 LINES = f"""
 WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
 split AS (SELECT row, doc_id, string_split(t, chr(10)) AS parts FROM texts),
@@ -176,6 +184,7 @@ ORACLES: dict[str, str] = {
     "op1_near_dedup": NEAR_DUPLICATES.format(width=3, percent=85),
     "op3_quality_rules": QUALITY,
     "op4_line_dedup": LINES,
+    "quality_ablations": ABLATIONS,
     "op7_chat_format": CHATS,
     "op10_topk_search": TOP_K,
     "op12_secret_scan": _secrets(),

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import fresh_name
 from llm.words import batch_words
 
 WINDOW = 5
@@ -134,14 +135,15 @@ def ledger(docs: DataFrame) -> DataFrame:
     """
     schema = ", ".join(["doc_id bigint", *(f"{name} bigint" for name in MEASURES)])
     measured = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure, schema)
-    bits = [
-        F.when(rule.excess(F.col) > 0, F.lit(1 << bit)).otherwise(F.lit(0))
-        for bit, rule in enumerate(RULES)
-    ]
-    failed = bits[0]
-    for bit in bits[1:]:
-        failed = failed.bitwiseOR(bit)
-    return measured.withColumn("failed", failed.cast("long"))
+    return measured.withColumn("failed", failure_bits(F.col))
+
+
+def failure_bits(value: Callable[[str], Column]) -> Column:
+    """A bit for each rule that a row fails, from its measurements; each rule is evaluated once."""
+    failed = F.lit(0)
+    for bit, rule in enumerate(RULES):
+        failed = failed.bitwiseOR(F.when(rule.excess(value) > 0, F.lit(1 << bit)).otherwise(F.lit(0)))
+    return failed.cast("long")
 
 
 def passes(policy: Policy, failed: Column | str = "failed") -> Column:
@@ -192,23 +194,22 @@ def judge(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
 def keep_good(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that pass the base rules and ``policy``.
 
-    The verdict is made in the scan of the rows it is about, so no join is needed.
+    The ledger's columns are added to the rows themselves and dropped after the verdict, so no join is
+    needed. Null and empty texts fail for their lack of words; a null doc_id is no fault, and of rows
+    that repeat all stay or go.
     """
-    columns = docs.columns
-    whole = docs.schema
+    columns, place = docs.columns, docs.columns.index("text")
+    own = {name: fresh_name(docs, f"_{name}") for name in MEASURES}
+    with_measures = docs.select("*", *(F.lit(0).cast("long").alias(name) for name in own.values()))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            named = pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(batch))), batch.column(columns.index("text"))],
-                ["doc_id", "text"],
-            )
+            rows, texts = pa.array(np.arange(len(batch))), batch.column(place)
+            named = pa.RecordBatch.from_arrays([rows, texts], ["doc_id", "text"])
             (measured,) = _measure(iter([named]))
-            values = {name: measured.column(name).to_numpy() for name in MEASURES}
-            bad = np.zeros(len(batch), dtype=bool)
-            for rule in RULES:
-                if rule.name in BASE.rules or rule.name in policy.rules:
-                    bad |= rule.excess(values.__getitem__) > 0
-            yield batch.filter(pa.array(~bad))
-
-    return docs.mapInArrow(keep, whole)
+            found = [measured.column(name) for name in MEASURES]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*columns, *own.values()])
+
+    measured = docs.mapInArrow(run, with_measures.schema)
+    failed = failure_bits(lambda name: F.col(f"`{own[name]}`"))
+    return measured.where(passes(BASE, failed) & passes(policy, failed)).drop(*own.values())

@@ -41,6 +41,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the stricter policy does, from the ledger of all documents."""
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return quality_rules.ablations(rows, quality_rules.STRICT)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_shared_lines(docs, with_counts=True)
@@ -125,5 +131,6 @@ QUERIES: dict[str, Query] = {
         op11_token_alignment,
         op12_secret_scan,
         op13_whitening,
+        quality_ablations,
     )
 }
