@@ -3,8 +3,9 @@
 A text of up to ``chunk_chars`` is encoded where it stands. A longer one is cut into chunks that
 overlap. All chunks are pre-tokenized in parallel. Since a pre-token depends only on the text from
 its start on, two runs of the pattern that share a boundary agree from there on; so the chunks of a
-text are stitched at the first boundary that both neighbours have. The pieces between the stitches
-are again encoded in parallel, and their ids put together in order.
+text are cut at the first boundary that both neighbours have, which takes the boundaries of their
+overlaps only. The pieces between the cuts are again encoded in parallel, and their ids put together in
+order. Where a pre-token is longer than the overlap, the text from there on is stitched in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from llm.common import store
@@ -108,6 +110,30 @@ def _first_agreement(start: int, text: str, ends: list[int], theirs: set[int]) -
     return None
 
 
+def seam_cuts(chunks: DataFrame) -> DataFrame:
+    """row, no, begin, end, alone: where each chunk's own piece lies in its text.
+
+    ``chunks`` has, besides row and no, the boundaries ``head`` in the overlap with the chunk before,
+    and ``tail`` in that with the next one, after characters that are not white space. Neighbours are
+    cut at the first boundary that both have. A chunk whose neighbours behind it all agree on from the
+    start of the text is ``alone``; where two do not agree, those from the first of them on are not.
+    Only boundaries of overlaps are joined here, and two numbers per chunk are ordered within a text.
+    """
+    left = chunks.select("row", (F.col("no") + 1).alias("no"), "tail")
+    both = chunks.select("row", "no", "head").join(left, ["row", "no"], "left")
+    cut = F.when(F.col("no") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("tail", "head")))
+    cuts = both.select("row", "no", cut.cast("long").alias("begin"))
+    text = W.partitionBy("row")
+    bad = F.min(F.when(F.col("begin").isNull(), F.col("no"))).over(text)
+    return cuts.withColumn("bad", bad).select(
+        "row",
+        "no",
+        "begin",
+        F.lead("begin").over(text.orderBy("no")).alias("end"),
+        (F.col("bad").isNull() | (F.col("no") < F.col("bad") - 1)).alias("alone"),
+    )
+
+
 def encode(
     docs: DataFrame,
     path: str,
@@ -120,8 +146,8 @@ def encode(
 
     ``ids`` holds little-endian unsigned 32-bit token ids, without special tokens. A null or empty
     text has no ids; a null doc_id and repeated rows keep their place as rows of their own. Only
-    texts longer than ``chunk_chars`` are shuffled: once as chunks, once as pieces, each time spread
-    by chunk, so that one very long text is encoded by many tasks.
+    texts longer than ``chunk_chars`` are shuffled, twice as chunks, spread by chunk, so that one very
+    long text is encoded by many tasks and no task holds more of it than a chunk and the ids.
     """
     # Carried columns have names of their own on the way.
     named = [docs[c].alias(f"_carried{i}") for i, c in enumerate(carry)]
@@ -172,22 +198,44 @@ def encode(
     def pretokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
         for batch in batches:
-            ends = [
-                boundaries(chunk, compiled, last)
-                for chunk, last in zip(
-                    batch.column("chunk").to_pylist(), batch.column("last").to_pylist(), strict=True
+            heads, tails = [], []
+            for no, chunk, last in zip(
+                *(batch.column(c).to_pylist() for c in ("no", "chunk", "last")), strict=True
+            ):
+                start, ends = no * chunk_chars, boundaries(chunk, compiled, last)
+                heads.append([start + e for e in ends if e <= overlap_chars])
+                tails.append(
+                    [start + e for e in ends if e >= chunk_chars and not chunk[e - 1].isspace()]
                 )
+            seams = [pa.array(x, pa.list_(pa.int64())) for x in (heads, tails)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *seams], [*batch.schema.names, "head", "tail"]
+            )
+
+    seam = F.lit(None).cast("array<bigint>")
+    with_seams = windows.select("*", seam.alias("head"), seam.alias("tail")).schema
+    chunks = store(windows.repartition("row", "no").mapInArrow(pretokenize, with_seams), "bpe-chunks")
+    placed = chunks.drop("head", "tail").join(seam_cuts(chunks), ["row", "no"])
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("no", "chunk", "begin", "end"))
+            pieces = [
+                chunk[begin - no * chunk_chars : None if end is None else end - no * chunk_chars]
+                for no, chunk, begin, end in zip(*columns, strict=True)
             ]
+            kept = [batch.column(c) for c in ("row", *others, "no")]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ends, pa.list_(pa.int32()))],
-                [*batch.schema.names, "ends"],
+                [*kept, pa.array(pieces, pa.string())], ["row", *others, "no", "piece"]
             )
 
-    with_ends = windows.withColumn("ends", F.lit(None).cast("array<int>")).schema
-    chunks = windows.repartition("row", "no").mapInArrow(pretokenize, with_ends)
-    gathered = chunks.groupBy("row").agg(
-        *(F.first(c).alias(c) for c in others),
-        F.sort_array(F.collect_list(F.struct("no", "chunk", "ends"))).alias("chunks"),
+    gathered = (
+        placed.where(~F.col("alone"))
+        .groupBy("row")
+        .agg(
+            *(F.first(c).alias(c) for c in others),
+            F.sort_array(F.collect_list(F.struct("no", "chunk", "last", "begin"))).alias("chunks"),
+        )
     )
 
     def stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,12 +243,17 @@ def encode(
         for batch in batches:
             for i in range(len(batch)):
                 parts = batch.column("chunks")[i].as_py()
-                pieces = stitch([(p["no"] * chunk_chars, p["chunk"], p["ends"]) for p in parts], compiled)
+                # The first of them begins at the last sure seam, the others where they were cut.
+                starts = [parts[0]["begin"], *(p["no"] * chunk_chars for p in parts[1:])]
+                texts = [p["chunk"][at - p["no"] * chunk_chars :] for p, at in zip(parts, starts, strict=True)]
+                ends = [boundaries(t, compiled, p["last"]) for t, p in zip(texts, parts, strict=True)]
+                pieces = stitch(list(zip(starts, texts, ends, strict=True)), compiled)
                 repeat = pa.array([i] * len(pieces))
+                first = parts[0]["no"]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).take(repeat) for c in ("row", *others)),
-                        pa.array(range(len(pieces)), pa.int32()),
+                        pa.array(range(first, first + len(pieces)), pa.int32()),
                         pa.array(pieces, pa.string()),
                     ],
                     ["row", *others, "no", "piece"],
@@ -223,9 +276,11 @@ def encode(
             rest = [batch.column(c) for c in others]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.binary())], schema.names)
 
-    pieces = gathered.mapInArrow(stitched, piece_schema).repartition("row", "no")
+    sure = placed.where("alone").mapInArrow(cut_out, piece_schema)
+    rest = gathered.mapInArrow(stitched, piece_schema).repartition("row", "no")
     long = (
-        pieces.mapInArrow(encode_pieces, id_schema)
+        sure.unionByName(rest)
+        .mapInArrow(encode_pieces, id_schema)
         .groupBy("row")
         .agg(
             *(F.first(c).alias(c) for c in others),

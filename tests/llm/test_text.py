@@ -209,6 +209,36 @@ def test_stitching_any_text():
         assert [m for p in pieces for m in compiled.findall(p)] == compiled.findall(text)
 
 
+def test_chunks_of_any_text(spark):
+    """Seams and the stitched rest give the ids of whole texts, whatever the sizes."""
+    rng = random.Random(9)
+    letters = list("aab1 \n'sré!  ") + ["   ", "aaaaaaaaaaaaaaaaaaaa", "don't", "\n\n\n\n\n\n\n\n\n"]
+    rows = [(i, "".join(rng.choices(letters, k=rng.randint(0, 120)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    encoder = byte_bpe.encoding(RANKS, PATTERN)
+    expected = {i: encoder.encode_ordinary(text) for i, text in rows}
+    for chunk, overlap in ((40, 30), (16, 7), (9, 9), (64, 2)):
+        got = byte_bpe.encode(docs, RANKS, PATTERN, chunk, overlap).collect()
+        assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == expected
+
+
+def test_a_very_long_text_is_held_by_no_task(spark):
+    """Its chunks stay apart: no row before the last one holds more than a chunk or the ids."""
+    text = "All work, and no play; it's 1,000 lines of prose.\n" * 40_000
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    (row,) = byte_bpe.round_trip(docs, RANKS, PATTERN).collect()
+    ids = byte_bpe.encoding(RANKS, PATTERN).encode_ordinary(text)
+    assert row.n_tokens == len(ids)
+    assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    places = [(0, i, [i * 100 + 5], [i * 100 + 105]) for i in range(50)]
+    chunks = spark.createDataFrame(places, "row int, no int, head array<bigint>, tail array<bigint>")
+    cuts = byte_bpe.seam_cuts(chunks).orderBy("no").collect()
+    assert all(c.alone for c in cuts) and [c.begin for c in cuts[1:3]] == [105, 205]
+    broken = chunks.withColumn("head", F.when(F.col("no") != 20, F.col("head")).otherwise(F.array()))
+    assert [c.no for c in byte_bpe.seam_cuts(broken).where("alone").orderBy("no").collect()] == [*range(19)]
+
+
 def test_token_files(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(token_files, "CHUNK_IDS", 64)
     path = scratch_path(spark, "test-tokens")
