@@ -285,6 +285,9 @@ def test_scratch_root_is_the_shared_folder(spark):
     assert scratch_root(Session(checkpoint_dir="s3://shared/folder/")) == "s3://shared/folder"
     unnamed = Session(sql_warehouse_dir="s3://warehouse")
     assert scratch_root(unnamed) == "s3://warehouse/_scratch"
+    assert scratch_root(Session(sql_warehouse_dir="file:/a")) == "file:/a/_scratch"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Session(sql_warehouse_dir="file:/a", master="yarn"))
     assert scratch_root(spark)
 
 

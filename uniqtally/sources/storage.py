@@ -15,9 +15,17 @@ SIZE_TASKS = 256
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; where none is named, one in the warehouse."""
-    shared = spark.conf.get(CHECKPOINT_DIR, None)
-    return (shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
+    """The shared folder named by the cluster; where none is named, one in the warehouse.
+
+    A warehouse on the local disk will do on one machine only; elsewhere it is an error.
+    """
+    if shared := spark.conf.get(CHECKPOINT_DIR, None):
+        return shared.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    is_local = spark.conf.get("spark.master", "local").startswith("local")
+    if warehouse.startswith("file:") and not is_local:
+        raise ValueError(f"Set {CHECKPOINT_DIR} to a folder that all executors share")
+    return f"{warehouse}/_scratch".rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
