@@ -17,10 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; where unset, one in the warehouse."""
+    """The shared folder named in ``spark.checkpoint.dir``; where unset, one in the warehouse.
+
+    A warehouse on the local disk will do on one machine only; elsewhere it is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        is_local = spark.conf.get("spark.master", "local").startswith("local")
+        if shared.startswith("file:") and not is_local:
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
