@@ -418,9 +418,11 @@ def test_seeds_leave_no_window_empty():
     rng = np.random.default_rng(1)
     for n in (4, 5, 50, 400):
         words = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        places = substring_dedup.seed_places(words)
+        places, after, before = substring_dedup.seed_places(words)
+        assert len(after) == len(before) == len(places)
+        assert (after < places).all() and (before > places).all() and before[-1] == n - 3
         bounds = np.concatenate(([-1], places, [n - substring_dedup.K + 1]))
         assert len(places) and np.diff(bounds).max() <= substring_dedup.WINDOW
-        inner = substring_dedup.seed_places(words[1:])
+        inner, *_ = substring_dedup.seed_places(words[1:])
         kept = (places >= substring_dedup.WINDOW) & (places < n - 2 * substring_dedup.WINDOW)
         assert np.isin(places[kept] - 1, inner).all()
