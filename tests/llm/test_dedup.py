@@ -354,9 +354,9 @@ def test_recall_of_fuzzy_passages(spark):
         return [rng.choice(words) for _ in range(n)]
 
     rows, planted = [], defaultdict(list)
-    for n in (50, 100, 200):
+    for n, pairs in ((50, 100), (100, 40), (200, 20)):
         for percent in (0, 10, 20):
-            for _ in range(40):
+            for _ in range(pairs):
                 passage = noise(n)
                 changed = list(passage)
                 for i in rng.sample(range(n), n * percent // 100):
