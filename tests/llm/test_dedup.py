@@ -426,3 +426,37 @@ def test_seeds_leave_no_window_empty():
         inner, *_ = substring_dedup.seed_places(words[1:])
         kept = (places >= substring_dedup.WINDOW) & (places < n - 2 * substring_dedup.WINDOW)
         assert np.isin(places[kept] - 1, inner).all()
+
+
+def test_passages_of_seeds_that_other_documents_share(spark):
+    """The source is neither the first nor the last document that holds the words of the passage."""
+    rng = np.random.default_rng(3)
+
+    def noise(n):
+        return [f"n{rng.integers(1 << 40)}" for _ in range(n)]
+
+    shared = noise(60)
+    changed = list(shared)
+    for i in (14, 29, 44):
+        changed[i] = "other"
+    parts = [shared[i : i + 8] for i in range(0, 57, 4)]
+    rows = [(i, noise(30) + part + noise(30)) for i, part in enumerate(parts)]
+    rows += [(50, noise(30) + shared + noise(30))]
+    rows += [(60 + i, noise(30) + part + noise(30)) for i, part in enumerate(parts)]
+    rows += [(90, noise(30) + changed + noise(30))]
+    docs = spark.createDataFrame([(i, " ".join(text)) for i, text in rows], "doc_id bigint, text string")
+    (found,) = substring_dedup.repeated_passages(docs).collect()
+    assert (found.doc_id, found.start, found.end, found.n_equal) == (90, 30, 90, 57)
+    assert found.others == [50]
+
+
+def test_partners_of_a_seed():
+    """Groups: a seed of four rows in three documents, one of a single document, one of many rows."""
+    docs = np.array([1, 2, 2, 3, 5, 5, *range(10, 50)])
+    bounds = np.array([0, 4, 6, 46])
+    held, first, size = substring_dedup._shared_rows(docs, bounds)
+    assert held.tolist() == [0, 1, 2, 3, *range(6, 46)]
+    assert first.tolist() == [0] * 4 + [6] * 40
+    own, other = substring_dedup._other_partners(docs, held, first, size)
+    pairs = set(zip(own.tolist(), other.tolist(), strict=True))
+    assert pairs == {(3, 2), (3, 1)} | {(i, i - 1) for i in range(8, 46)}
