@@ -457,6 +457,32 @@ def test_partners_of_a_seed():
     held, first, size = substring_dedup._shared_rows(docs, bounds)
     assert held.tolist() == [0, 1, 2, 3, *range(6, 46)]
     assert first.tolist() == [0] * 4 + [6] * 40
-    own, other = substring_dedup._other_partners(docs, held, first, size)
-    pairs = set(zip(own.tolist(), other.tolist(), strict=True))
-    assert pairs == {(3, 2), (3, 1)} | {(i, i - 1) for i in range(8, 46)}
+
+    def pairs(partners):
+        found = substring_dedup._other_partners(docs, held, first, size, partners)
+        return {pair for own, other in found for pair in zip(own.tolist(), other.tolist(), strict=True)}
+
+    assert pairs(32) == {(3, 2), (3, 1)} | {(i, i - 1) for i in range(8, 46)}
+    assert pairs(None) == {(3, 2), (3, 1)} | {(i, j) for i in range(8, 46) for j in range(7, i)}
+
+
+def test_passages_of_seeds_of_very_many_documents(spark):
+    """Without a bound, the source is found however many documents share the words of the passage."""
+    rng = np.random.default_rng(4)
+
+    def noise(n):
+        return [f"n{rng.integers(1 << 40)}" for _ in range(n)]
+
+    shared = noise(60)
+    changed = list(shared)
+    for i in (14, 29, 44):
+        changed[i] = "other"
+    parts = [shared[i : i + 8] for i in range(0, 57, 4)] * 20
+    rows = [(i, noise(30) + part + noise(30)) for i, part in enumerate(parts)]
+    rows += [(1000, noise(30) + shared + noise(30))]
+    rows += [(2000 + i, noise(30) + part + noise(30)) for i, part in enumerate(parts)]
+    rows += [(9000, noise(30) + changed + noise(30))]
+    docs = spark.createDataFrame([(i, " ".join(text)) for i, text in rows], "doc_id bigint, text string")
+    (found,) = substring_dedup.repeated_passages(docs, partners=None).collect()
+    assert (found.doc_id, found.start, found.end, found.n_equal) == (9000, 30, 90, 57)
+    assert found.others == [1000]
