@@ -486,3 +486,19 @@ def test_passages_of_seeds_of_very_many_documents(spark):
     (found,) = substring_dedup.repeated_passages(docs, partners=None).collect()
     assert (found.doc_id, found.start, found.end, found.n_equal) == (9000, 30, 90, 57)
     assert found.others == [1000]
+
+
+def test_passages_of_hot_seeds(spark, monkeypatch):
+    """Hot seeds and runs, which are not shuffled by their value, are matched with the first document."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 0)
+    rng = np.random.default_rng(6)
+
+    def noise(n):
+        return [f"n{rng.integers(1 << 40)}" for _ in range(n)]
+
+    shared = noise(90)
+    rows = [(i, " ".join([*noise(20 + i), *shared, *noise(9)])) for i in range(1, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = substring_dedup.repeated_passages(docs).collect()
+    spans = sorted((r.doc_id, r.start, r.end, r.others) for r in found)
+    assert spans == [(2, 22, 112, [1]), (3, 23, 113, [1])]
