@@ -26,6 +26,8 @@ from llm.common import store
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 9
+#: Rows whose texts and ids a task holds as objects at a time.
+PART_ROWS = 256
 #: Characters a pre-token must be able to see after its end, where the text goes on.
 LOOKAHEAD = 2
 
@@ -61,6 +63,24 @@ def decode_ids(ids: bytes, path: str) -> bytes:
     return b"".join(map(token_bytes(path).__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows, so many at a time that the strings and ids made of them take little memory."""
+    for batch in batches:
+        for at in range(0, len(batch), PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
+def _encoded(
+    batches: Iterator[pa.RecordBatch], path: str, pattern: str, names: list[str]
+) -> Iterator[pa.RecordBatch]:
+    """Rows with the ids of their whole ``text`` in its place, as the last of the columns ``names``."""
+    for batch in _parts(batches):
+        texts = batch.column("text").to_pylist()
+        ids = pa.array([encode_text(t or "", path, pattern) for t in texts], pa.binary())
+        others = [batch.column(c) for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*others, ids], names)
+
+
 def boundaries(text: str, pattern: regex.Pattern, last: bool) -> list[int]:
     """Starts and ends of the pre-tokens from the start of ``text``.
 
@@ -156,11 +176,7 @@ def encode(
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = pa.array([encode_text(t or "", path, pattern) for t in texts], pa.binary())
-            others = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*others, ids], schema.names)
+        return _encoded(batches, path, pattern, schema.names)
 
     short = kept.where(~is_long).mapInArrow(whole, schema)
 
@@ -262,7 +278,7 @@ def encode(
     piece_schema = windows.select("row", *others, "no", F.col("chunk").alias("piece")).schema
 
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             pieces = batch.column("piece").to_pylist()
             ids = pa.array([encode_text(p, path, pattern) for p in pieces], pa.binary())
             rest = [batch.column(c) for c in ("row", *others, "no")]

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from operator import mul
@@ -11,6 +12,7 @@ from operator import mul
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -425,3 +427,18 @@ def test_pipeline_stages(spark, documents):
     )
     assert Counter((r.doc_id, hashlib.md5(r.ids).digest()) for r in encoded.collect()) == expected
     assert all(WORD.search(r.text) for r in docs.limit(5).collect())
+
+
+def test_texts_of_a_batch_are_encoded_in_parts():
+    """Of a batch of 20 MB, a worker holds a small part as strings and ids."""
+    encoder = byte_bpe.encoding(RANKS, PATTERN)
+    text = "some words of a text " * 100
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(10_000), "text": [text] * 10_000})
+    tracemalloc.start()
+    got = [0, set()]
+    for part in byte_bpe._encoded(iter([batch]), RANKS, PATTERN, ["doc_id", "ids"]):
+        got = [got[0] + len(part), got[1] | set(part.column("ids").to_pylist())]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got == [10_000, {encoder.encode_to_numpy(text).astype("<u4").tobytes()}]
+    assert peak < 4 << 20
