@@ -502,3 +502,70 @@ def test_passages_of_hot_seeds(spark, monkeypatch):
     found = substring_dedup.repeated_passages(docs).collect()
     spans = sorted((r.doc_id, r.start, r.end, r.others) for r in found)
     assert spans == [(2, 22, 112, [1]), (3, 23, 113, [1])]
+
+
+def _chain_rows(rng, n: int) -> pa.RecordBatch:
+    """Chains of texts that are alike in part, every other one with a word more on one side."""
+    rows = []
+    for i in range(n):
+        x = rng.integers(0, 1 << 32, int(rng.integers(60, 400)), dtype=np.uint32)
+        y = np.where(rng.random(len(x)) < rng.choice([0, 0.1, 0.5]), np.uint32(7), x)
+        at = np.unique(rng.integers(0, len(x) - substring_dedup.K, 5))
+        at, bt, x_from, y_from = at + 9, at + 5, 9, 5
+        if i % 2:
+            y = np.insert(y, at[1] - 9, 3)
+            bt = bt + (np.arange(len(bt)) > 0)
+        rows.append((i, i - 1, at.tolist(), bt.tolist(), x_from, x.tobytes(), y_from, y.tobytes()))
+    names = ["a", "b", "pa", "pb", "x_from", "x", "y_from", "y"]
+    types = [pa.int64()] * 2 + [pa.list_(pa.int32())] * 2 + [pa.int32(), pa.binary()] * 2
+    columns = zip(zip(*rows, strict=True), types, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names)
+
+
+def test_chains_on_one_diagonal_are_compared_together(monkeypatch):
+    batch = _chain_rows(np.random.default_rng(8), 200).slice(3)
+    aligned, wanted = [], []
+    for i, row in enumerate(batch.to_pylist()):
+        x, y = (np.frombuffer(row[c], dtype=np.uint32) for c in "xy")
+        places = (np.array(row[c]) for c in ("pa", "pb"))
+        begin, equal, lost = substring_dedup.align(x, y, row["x_from"], row["y_from"], *places)
+        parts = substring_dedup.alike_parts(equal, lost, 25, 50)
+        wanted += [(i, begin + a, begin + b, n) for a, b, n in parts]
+    one_by_one = substring_dedup.align
+
+    def counted(*args):
+        aligned.append(args)
+        return one_by_one(*args)
+
+    monkeypatch.setattr(substring_dedup, "align", counted)
+    monkeypatch.setattr(substring_dedup, "HELD_ROWS", 1000)
+    found = list(substring_dedup._alike_chains(batch, 25, 50))
+    assert sorted(found) == sorted(wanted) and len(found) > 100
+    assert len(aligned) == sum(row["a"] % 2 for row in batch.to_pylist())
+
+
+def test_rows_alone_with_their_seed_go_first():
+    batches = [([1, 2, 2], [5, 9, 4]), ([2, 3, 4], [4, 1, 8]), ([4], [2])]
+    given = [
+        pa.RecordBatch.from_pydict({"seed": s, "doc": d, "pos": list(range(len(s), 0, -1))})
+        for s, d in batches
+    ]
+    found = [(rows.to_pylist(), b.tolist()) for rows, b in substring_dedup._repeated(iter(given), "seed")]
+    rows = [tuple(row.values()) for part, _ in found for row in part]
+    assert rows == [(2, 4, 1), (2, 4, 3), (2, 9, 2), (4, 2, 1), (4, 8, 1)]
+    assert [b for _, b in found] == [[0, 3], [0, 2]]
+
+
+def test_seeds_of_a_block_are_those_of_its_texts():
+    rng = np.random.default_rng(9)
+    counts = rng.integers(0, 300, 60)
+    hashes = rng.integers(0, 1 << 63, counts.sum(), dtype=np.uint64)
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    hashes[bounds[7] : bounds[8]] = 1  # one k-mer only
+    rolled = substring_dedup.shingles(hashes, substring_dedup.K)
+    at, owner, around, rest = substring_dedup._block_places(rolled, counts, 50)
+    assert sorted({*owner.tolist(), *rest.tolist()}) == np.flatnonzero(counts >= 50).tolist()
+    for i in set(owner.tolist()):
+        own = substring_dedup.seed_places(hashes[bounds[i] : bounds[i + 1]])
+        for found, wanted in zip((at, *around), own, strict=True):
+            assert found[owner == i].tolist() == wanted.tolist()
