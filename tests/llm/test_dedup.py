@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from llm import line_dedup, near_dedup, substring_dedup
 from llm import words as text_words
-from llm.common import WORD
+from llm.common import FREE_SHUFFLES, WORD
 from llm.components import connected_components
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -504,6 +505,25 @@ def test_passages_of_hot_seeds(spark, monkeypatch):
     assert spans == [(2, 22, 112, [1]), (3, 23, 113, [1])]
 
 
+def test_passages_leave_no_shuffle_files(spark, odd_docs):
+    """They go with the query that made them; else they add up until the driver collects its garbage."""
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        names = [blocks.apply(i).name().split("_") for i in range(blocks.size())]
+        return {name[1] for name in names if name[0] == "shuffle"}
+
+    setting, before = spark.conf.get(FREE_SHUFFLES), shuffles()
+    found = substring_dedup.repeated_passages(odd_docs)
+    until = time.monotonic() + 20  # they go in the background
+    # What is left are three totals of one row each, which are not stored.
+    while len(left := shuffles() - before) > 3 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert len(left) <= 3
+    assert spark.conf.get(FREE_SHUFFLES) == setting
+    assert {r.doc_id for r in found.collect()} == {5, 10}
+
+
 def _chain_rows(rng, n: int) -> pa.RecordBatch:
     """Chains of texts that are alike in part, every other one with a word more on one side."""
     rows = []
