@@ -31,7 +31,6 @@ BITS_PER_LINE = 12
 SEGMENT_BITS = 16
 PROBES = 2
 _STRIP = "".join(map(chr, (0x20, *range(0x09, 0x0E))))
-_LOWER = {code: code + 32 for code in range(65, 91)}
 
 
 def long_keys(text: str | None, min_chars: int) -> list[str | None]:
@@ -42,7 +41,8 @@ def long_keys(text: str | None, min_chars: int) -> list[str | None]:
         if len(stripped) < min_chars:
             keys.append(None)
         else:
-            keys.append(stripped.lower() if stripped.isascii() else stripped.translate(_LOWER))
+            # Bytes lower A-Z only, which are no part of other characters in UTF-8.
+            keys.append(stripped.encode().lower().decode())
     return keys
 
 

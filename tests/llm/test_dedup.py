@@ -238,6 +238,24 @@ def test_filters_hold_all_repeats():
     assert flags[line_dedup.probes(repeated, bits)].all()
 
 
+def test_keys_of_lines_beyond_ascii_take_no_longer():
+    odd = " \tÉcole ÀZ İSTANBUL \u212aELVIN \U0001d400Z \x0b\r\nSHORT Ä\n\u2003Kept ends ÄÖÜ stay AZ\u2003"
+    keys = [fold(line.strip(SPACES)) for line in odd.split("\n")]
+    assert line_dedup.long_keys(odd, 20) == [k if len(k) >= 20 else None for k in keys]
+
+    def seconds(text):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            line_dedup.long_keys(text, 20)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    line = "Words Of A Line " * 50_000
+    # One by one, characters took some hundred times as long.
+    assert seconds(line + "é") < 20 * seconds(line)
+
+
 # --- passages --------------------------------------------------------------------------------
 
 
