@@ -523,6 +523,39 @@ def test_passages_of_hot_seeds(spark, monkeypatch):
     assert spans == [(2, 22, 112, [1]), (3, 23, 113, [1])]
 
 
+def test_passages_are_stored_in_few_files(spark, monkeypatch):
+    texts = [
+        " ".join([f"own{d}x{i}" for i in range(80)] + [f"shared{d % 150}x{i}" for i in range(70)])
+        for d in range(300)
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    conf = {
+        "spark.sql.shuffle.partitions": "100",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in conf}
+    files = {}
+
+    def stored(df, label, store=substring_dedup.store_and_free):
+        table = store(df, label)
+        files[label] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(substring_dedup, "store_and_free", stored)
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        got = substring_dedup.repeated_passages(docs).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {r.doc_id for r in got} == set(range(150, 300))
+    assert all((r.start, r.end, r.others) == (80, 150, [r.doc_id - 150]) for r in got)
+    # Before, some 80 files for most tables: one for each partition with a row.
+    assert len(files) >= 8
+    assert max(files.values()) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_passages_leave_no_shuffle_files(spark, odd_docs):
     """They go with the query that made them; else they add up until the driver collects its garbage."""
 
