@@ -433,6 +433,22 @@ def test_alike_parts_by_brute_force():
             assert b - a >= 10 and n == equal[a:b].sum() and n >= 0.8 * (b - a) - 1e-9
 
 
+def test_alike_parts_of_many_rows():
+    rng = np.random.default_rng(13)
+    rows = [rng.random(int(rng.integers(0, 160))) < rng.choice([0.3, 0.75, 0.8, 0.95]) for _ in range(300)]
+    rows[5:7] = [np.ones(40, dtype=bool), np.zeros(40, dtype=bool)]
+    wanted = []
+    for i, equal in enumerate(rows):
+        parts = substring_dedup.alike_parts(equal, np.zeros(len(equal), dtype=int), 25, 50)
+        wanted += [(i, *part) for part in parts]
+    bounds = np.concatenate(([0], np.cumsum([len(equal) for equal in rows])))
+    found = substring_dedup.alike_parts_of_rows(np.concatenate(rows), bounds, 25, 50)
+    assert sorted(zip(*(c.tolist() for c in found), strict=True)) == sorted(wanted)
+    may = substring_dedup.may_hold_part(np.concatenate(rows), bounds, 25)
+    assert {i for i, *_ in wanted} <= set(np.flatnonzero(may).tolist())
+    assert len(wanted) > 100 and not may.all()
+
+
 def test_seeds_leave_no_window_empty():
     rng = np.random.default_rng(1)
     for n in (4, 5, 50, 400):
@@ -507,6 +523,83 @@ def test_passages_of_seeds_of_very_many_documents(spark):
     assert found.others == [1000]
 
 
+def _with_noise(rng, *texts, around=30):
+    def noise(n):
+        return [f"n{rng.integers(1 << 40)}" for _ in range(n)]
+
+    return [noise(around) + text + noise(around) for text in texts]
+
+
+@pytest.mark.parametrize("hot_rows", [substring_dedup.HOT_ROWS, 0])
+def test_passages_of_frequent_seeds(spark, monkeypatch, hot_rows):
+    """All earlier documents with a passage are found, though more hold its seeds than ``PARTNERS``."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 20_000)  # some blocks, not one
+    rng = np.random.default_rng(10)
+    shared = [f"s{i}" for i in range(60)]
+    parts = [shared[i : i + 8] for i in range(0, 57, 4)] * 4
+    changed = []
+    for i in range(40):
+        text = list(shared)
+        text[10 + i % 5], text[30 + i % 7], text[45] = "other", "words", f"here{i}"
+        if i % 4 == 0:
+            text.insert(20, "more")
+        changed.append(text)
+    texts = _with_noise(rng, *parts, *changed, *parts, *changed)
+    docs = spark.createDataFrame(
+        [(i, " ".join(text)) for i, text in enumerate(texts)], "doc_id bigint, text string"
+    )
+    found = substring_dedup.repeated_passages(docs).collect()
+    holders = [*range(60, 100), *range(160, 200)]
+    assert [r.doc_id for r in sorted(found)] == holders[1:]
+    for r in found:
+        assert set(r.others) == {d for d in holders if d < r.doc_id}
+        # A part of fewer than 50 words takes in some beyond its end.
+        assert 20 <= r.start <= 30 <= len(texts[r.doc_id]) - r.end + 10 <= 40
+
+
+def test_fuzzy_passages_of_repeated_words(spark):
+    """Too short a run of one word to be a verbatim passage, at any place of a document that has more."""
+    rng = np.random.default_rng(11)
+    tail = [f"t{i}" for i in range(20)]
+    other = [*tail[:5], "else", *tail[6:]]
+    texts = _with_noise(rng, ["again"] * 40 + tail, ["again"] * 40 + other, tail)
+    texts[0] += ["again"] * 9 + _with_noise(rng, [])[0]
+    docs = spark.createDataFrame(
+        [(i, " ".join(text)) for i, text in enumerate(texts)], "doc_id bigint, text string"
+    )
+    (found,) = substring_dedup.repeated_passages(docs).collect()
+    assert (found.doc_id, found.start, found.end, found.others) == (1, 30, 90, [0])
+
+
+def test_blocks_find_what_rows_find(spark, monkeypatch):
+    """Matched in rows or in blocks, seeds lead to the same passages."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(substring_dedup, "HELD_MATCHES", 500)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(120):
+        text = rng.choice(words, 250).tolist()
+        if i >= 20:
+            source = rows[int(rng.integers(len(rows)))][1].split()
+            first, n = int(rng.integers(0, 150)), int(rng.integers(30, 100))
+            passage = source[first : first + n]
+            for k in rng.integers(0, n, n // 12):
+                passage[k] = "changed"
+            if i % 3 == 0:
+                del passage[n // 2]
+            text[60 : 60 + n] = passage
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    in_rows, in_blocks = (
+        sorted(map(tuple, substring_dedup.repeated_passages(docs, partners=n).collect()))
+        for n in (None, 1)
+    )
+    assert len(in_rows) > 50
+    assert in_blocks == in_rows
+
+
 def test_passages_of_hot_seeds(spark, monkeypatch):
     """Hot seeds and runs, which are not shuffled by their value, are matched with the first document."""
     monkeypatch.setattr(substring_dedup, "HOT_ROWS", 0)
